@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of the contracts: blank, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def schema_plus(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and further columns, in DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
     (a local session, as in tests) one of our own."""

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, schema_plus, table
 
 _SPACE = SPACE.encode()
 
@@ -91,7 +91,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     drops = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
     both = docs.join(drops, "__id", "left").drop("__id")
     at = both.columns.index(text_col), both.columns.index("__drop")
-    schema = both.drop("__drop").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+    schema = schema_plus(both.drop("__drop"), "kept_text string, n_lines long, n_dropped long")
     return both.mapInArrow(lambda it: _cut(it, *at, least), schema)
 
 

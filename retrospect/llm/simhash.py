@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitslice import BITS, least_reached, shifted_pairs, spanning_links
-from .common import connected_components, table, written
+from .common import connected_components, schema_plus, table, written
 
 SEED = 42
 #: Rows of one key that one task compares; a key with more is dealt out in tiles.
@@ -56,7 +56,7 @@ def _fingerprints(batches, text_at: int, width: int):
 def with_fingerprints(df: DataFrame, text_col: str = "text", width: int = 4) -> DataFrame:
     """``df`` with its text column replaced by print (the 64 bits as a signed long)."""
     at = df.columns.index(text_col)
-    return df.mapInArrow(lambda it: _fingerprints(it, at, width), df.drop(text_col).schema.add("print", "long"))
+    return df.mapInArrow(lambda it: _fingerprints(it, at, width), schema_plus(df.drop(text_col), "print long"))
 
 
 def masks(radius: int, blocks: int) -> list[int]:
