@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 
@@ -32,12 +32,20 @@ _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
 
 class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for."""
+    """Numbers keys in the order in which they are first asked for; ``new`` lists those not yet taken."""
+
+    def __init__(self):
+        self.new: list = []
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
+    def take(self) -> list:
+        new, self.new = self.new, []
+        return new
+
 
 class CachedEncoder:
     """Encodes whole texts with a ``tokenizers`` file, special strings as ordinary text.
@@ -127,7 +135,7 @@ class CachedEncoder:
         n = len(self.number)
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, sizes[-1])
         if len(self.number) > n:
-            self._learn(list(islice(self.number, n, None)), n)
+            self._learn(self.number.take(), n)
         own = self.sizes[numbers]
         ends = np.concatenate([[0], np.cumsum(own)])
         ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], own) + np.arange(ends[-1])]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, embedding_dedup, exact_dedup, langid, line_dedup, packing, simhash, url_filter
+from . import chat, dac, embedding_dedup, exact_dedup, langid, line_dedup, packing, pieces, simhash, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 SQL = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
