@@ -14,6 +14,7 @@ from itertools import chain, combinations, count, product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import schema_plus, table
 from .encode import _Numbers, batches_of
@@ -21,7 +22,9 @@ from .encode import _Numbers, batches_of
 BLANK = "▁"
 #: What a character without a piece (written as its bytes) costs below the lowest score of a piece.
 FALLBACK = 10.0
-REMEMBERED = 300_000
+#: Chunks a worker remembers. When there are more it forgets those that came in one text only (or
+#: the less frequent half), which costs time and changes no result.
+REMEMBERED = 400_000
 
 
 class Vocabulary:
@@ -45,7 +48,10 @@ class Vocabulary:
         self.low = min(s for s in (self.score[i] for i in self.number.values()) if s > -1e8) - FALLBACK
         self.inside = {p[k : k + 2] for p in self.number for k in range(len(p) - 1)}
         self.value = {i: b for b, i in self.byte.items()}
-        self.ending = {p[k:] for p in self.number for k in range(len(p))}
+        #: Every end of a piece, with the piece's score and id where it is one itself.
+        self.ending = {p[k:]: None for p in self.number for k in range(len(p))}
+        self.ending |= {p: (self.score[i], i) for p, i in self.number.items()}
+        self.shown = [bytes([self.value[i]]) if i in self.value else t.replace(BLANK, " ").encode() for i, t in enumerate(self.text)]
 
     def parts(self, text: str) -> list[str]:
         """``text`` cut between characters that no piece holds next to each other: no path crosses
@@ -72,39 +78,44 @@ class Vocabulary:
         return ends
 
     def best(self, text: str) -> tuple[float, tuple, float]:
-        """(score, ids) of the best path of one part, and what the second best one loses. Each other
-        path has an edge that the best one lacks, so forward and backward scores give the loss
-        without a search."""
-        if len(text) == 1:
-            ((_, s, ids),) = self.lattice(text)[1]
-            return s, ids, float("inf")
-        ends = self.lattice(text)
-        forward, by = [0.0], [None]
-        for here in ends[1:]:
-            top = None
-            for edge in here:
-                s = forward[edge[0]] + edge[1]
-                if top is None or s > top:
-                    top, pick = s, edge
-            forward.append(top)
-            by.append(pick)
-        place, on, ids = len(text), set(), ()
+        """(score, ids) of the best path of one part, and what the second best one loses: forward
+        Viterbi that keeps the two best scores of each place."""
+        get, low, absent = self.ending.get, float("-inf"), self
+        first, second, by = [0.0], [low], [None]
+        for j in range(1, len(text) + 1):
+            one = two = low
+            edge = None
+            i = j - 1
+            while i >= 0:
+                found = get(text[i:j], absent)
+                if found is absent:  # no longer piece ends here either
+                    if i == j - 1:
+                        one, two = first[i] + self.low, second[i] + self.low
+                        edge = (i, tuple([self.byte[b] for b in text[i].encode("utf-8", "replace")]))
+                    break
+                if found is not None:
+                    s = found[0]
+                    c = first[i] + s
+                    if c > one:
+                        one, two = c, one
+                        edge = (i, (found[1],))
+                    elif c > two:
+                        two = c
+                    c = second[i] + s
+                    if c > two:
+                        two = c
+                elif i == j - 1:
+                    one, two = first[i] + self.low, second[i] + self.low
+                    edge = (i, tuple([self.byte[b] for b in text[i].encode("utf-8", "replace")]))
+                i -= 1
+            first.append(one)
+            second.append(two)
+            by.append(edge)
+        place, ids = len(text), ()
         while place:
-            edge = by[place]
-            on.add((edge[0], place))
-            ids = edge[2] + ids
-            place = edge[0]
-        behind = [float("-inf")] * len(ends)
-        behind[-1], other = 0.0, float("-inf")
-        for j in range(len(text), 0, -1):
-            after = behind[j]
-            for i, s, _ in ends[j]:
-                s += after
-                if s > behind[i]:
-                    behind[i] = s
-                if forward[i] + s > other and (i, j) not in on:
-                    other = forward[i] + s
-        return forward[-1], ids, forward[-1] - other
+            place, own = by[place]
+            ids = own + ids
+        return one, ids, one - two
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best paths (score, ids) of one part, best first."""
@@ -156,32 +167,45 @@ class Segmenter:
             raise ValueError("a piece holds a blank behind another character")
         self.known: dict[str, tuple] = {}
         self.searched: dict[str, list] = {}
-        self._forget()
+        self.chunks, self.ids = _Numbers(), []
+        self.sizes, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.score, self.second = np.zeros(0), np.zeros(0)
 
     def _forget(self) -> None:
+        n = len(self.chunks)
+        hits = self.hits[:n]
+        keep = np.flatnonzero(hits > 1)
+        if len(keep) > REMEMBERED // 2:
+            keep = np.sort(np.argsort(-hits, kind="stable")[: REMEMBERED // 2])
+        names = list(self.chunks)
         self.chunks = _Numbers()
-        self.ids, self.sizes = [], np.empty(0, np.int64)
-        self.score, self.second = np.empty(0), np.empty(0)
+        for k in keep.tolist():
+            self.chunks[names[k]]
+        self.chunks.take()
+        self.ids = [self.ids[k] for k in keep.tolist()]
+        self.sizes, self.score, self.second = self.sizes[keep], self.score[keep], self.second[keep]
+        self.hits = np.ones(len(keep), np.int32)
 
     def part(self, text: str) -> tuple[float, tuple, float]:
         if (got := self.known.get(text)) is None:
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED // 4:
                 self.known.clear()
             got = self.known[text] = self.vocabulary.best(text)
         return got
 
     def chunk(self, text: str) -> tuple[float, tuple, float]:
         """The best score and ids of a chunk, and what its second best segmentation loses."""
-        parts = [self.part(x) for x in self.vocabulary.parts(text)]
-        if len(parts) == 1:
-            return parts[0]
+        names = self.vocabulary.parts(text)
+        if len(names) == 1:
+            return self.vocabulary.best(text)  # kept as a chunk
+        parts = [self.part(x) for x in names]
         return sum([p[0] for p in parts]), tuple(chain.from_iterable([p[1] for p in parts])), min([p[2] for p in parts])
 
     def search(self, text: str) -> list[tuple[float, tuple]]:
         """The n best (score, ids) of a chunk, from the search over those of its parts that the n
         best ones can differ in; the first is ``chunk``'s."""
         if (out := self.searched.get(text)) is None:
-            if len(self.searched) > REMEMBERED // 4:
+            if len(self.searched) > REMEMBERED // 16:
                 self.searched.clear()
             names = self.vocabulary.parts(text)
             best = [self.part(x) for x in names]
@@ -227,6 +251,7 @@ class Segmenter:
             self._grow(new, was)
         if not cut:
             return 0.0, np.empty(0, np.uint32), [(0.0, [])]
+        self.hits[numbers] += 1  # once a text
         score = float(self.score[numbers].sum())
         second = self.second[numbers]
         own = self.ids
@@ -250,25 +275,15 @@ class Segmenter:
         need = was + len(new)
         if need > len(self.sizes):
             room = max(4096, 2 * need)
-            self.sizes, self.score, self.second = (np.concatenate([x[:was], np.zeros(room - was, x.dtype)]) for x in (self.sizes, self.score, self.second))
+            self.sizes, self.hits, self.score, self.second = (np.concatenate([x[:was], np.zeros(room - was, x.dtype)]) for x in (self.sizes, self.hits, self.score, self.second))
         self.sizes[was:need] = [len(b[1]) for b in new]
         self.score[was:need] = [b[0] for b in new]
         self.second[was:need] = [b[2] for b in new]
 
     def decode(self, ids) -> str:
         """The text of ids: blanks for their sign, the blank in front taken off, bytes joined."""
-        text, value, out, raw = self.vocabulary.text, self.vocabulary.value, [], bytearray()
-        for i in ids:
-            if (b := value.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")[1:]
+        shown = self.vocabulary.shown
+        return b"".join([shown[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 @cache
@@ -276,42 +291,59 @@ def segmenter(path: str, n: int) -> Segmenter:
     return Segmenter(path, n)
 
 
-def _segment(batches, text_at: int, path: str, n: int):
-    own = segmenter(path, n)
-    change = pa.struct([("at", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    way = pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text_at).to_pylist()]
-        for a, b in batches_of(texts):
-            ids, sizes, ways = [], [0], []
-            for t in texts[a:b]:
-                _, best, out = own.segment(t)
-                ids.append(best.astype(np.int32))
-                sizes.append(sizes[-1] + len(best))
-                ways.append([{"score": s, "changes": [{"at": x, "n": y, "ids": z} for x, y, z in c]} for s, c in out])
-            flat = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)))
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns, flat, pa.array(ways, pa.list_(way))], [*part.schema.names, "ids", "n_best"])
-
+CHANGE = pa.struct([("at", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+#: What ``segment`` can add: type in Arrow and in Spark.
+COLUMNS = {
+    "ids": (pa.list_(pa.int32()), "array<int>"),
+    "n_best": (pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(CHANGE))])), "array<struct<score:double,changes:array<struct<at:bigint,n:int,ids:array<int>>>>>"),
+    "scores": (pa.list_(pa.float64()), "array<double>"),
+    "n_pieces": (pa.int64(), "bigint"),
+    "ids_crc32": (pa.int64(), "bigint"),
+    "decoded": (pa.string(), "string"),
+}
 
-WAYS = "array<struct<score:double,changes:array<struct<at:bigint,n:int,ids:array<int>>>>>"
 
-
-def segment(df: DataFrame, path: str, text_col: str = "text", n: int = 4) -> DataFrame:
-    """Adds ids (array of the best segmentation's ids) and n_best (the ``n`` best ones, best first:
-    score, and how they differ from ids) to each row. A score is the sum of the pieces' scores in
-    the model file; a character without a piece is written as its bytes, at the lowest score less
-    FALLBACK. A blank is put before a text, and blanks become U+2581.
+def _segment(batches, text_at: int, path: str, n: int, add: tuple):
+    own = segmenter(path, n)
+    make = {
+        "ids": lambda best, ways: best.astype(np.int32),
+        "n_best": lambda best, ways: [{"score": s, "changes": [{"at": x, "n": y, "ids": z} for x, y, z in c]} for s, c in ways],
+        "scores": lambda best, ways: [s for s, _ in ways],
+        "n_pieces": lambda best, ways: len(best),
+        "ids_crc32": lambda best, ways: zlib.crc32(best.astype("<u4").tobytes()),
+        "decoded": lambda best, ways: own.decode(best.tolist()),
+    }
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            texts = [t or "" for t in batch.column(text_at).slice(a, 512).to_pylist()]
+            for b, c in batches_of(texts, 1 << 20):
+                out: dict[str, list] = {x: [] for x in add}
+                for t in texts[b:c]:
+                    _, best, ways = own.segment(t)
+                    for x in add:
+                        out[x].append(make[x](best, ways))
+                part = batch.slice(a + b, c - b)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[x], COLUMNS[x][0]) for x in add)], [*part.schema.names, *add])
+
+
+def segment(df: DataFrame, path: str, text_col: str = "text", n: int = 4, add: tuple = ("ids", "n_best")) -> DataFrame:
+    """Adds to each row what ``add`` names: ids (array of the best segmentation's ids), n_best (the
+    ``n`` best ones, best first: score, and how they differ from ids), scores (of the n best),
+    n_pieces, ids_crc32 (of the ids as little-endian unsigned 32 bits) and decoded (the text the
+    ids stand for). A score is the sum of the pieces' scores in the model file; a character without
+    a piece is written as its bytes, at the lowest score less FALLBACK. A blank is put before a
+    text, and blanks become U+2581.
 
     Texts are segmented whole. They are cut where no piece can cross, which changes no path and no
-    order; each different chunk is searched once a worker. Among equal scores the order is fixed.
+    order; each different chunk's best path is worked out once a worker, and the search for more
+    runs over the chunks that the n best segmentations can differ in.
 
     Defined cases: null or empty text: no ids, one way of score 0; fewer than ``n`` ways where the
     lattice has fewer; a text's own U+2581 decodes as a blank; columns of ``df`` that bear a
     result's name are replaced, others stay; rows that repeat give rows that repeat."""
-    df = df.drop("ids", "n_best")
+    df = df.drop(*add)
     at = df.columns.index(text_col)
-    return df.mapInArrow(lambda it: _segment(it, at, path, n), schema_plus(df, f"ids array<int>, n_best {WAYS}"))
+    return df.mapInArrow(lambda it: _segment(it, at, path, n, add), schema_plus(df, ", ".join(f"{x} {COLUMNS[x][1]}" for x in add)))
 
 
 def _decode(batches, ids_at: int, path: str, n: int):
@@ -328,22 +360,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", n: int = 4) -> DataFr
     return df.mapInArrow(lambda it: _decode(it, at, path, n), schema_plus(df, "decoded string"))
 
 
-def _digest(batches):
-    for batch in batches:
-        ids, ways = batch.column("ids"), batch.column("n_best").to_pylist()
-        crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids]
-        text, back = batch.column("text").to_pylist(), batch.column("decoded").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x.values) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array([[y["score"] for y in w] for w in ways], pa.list_(pa.float64())), pa.array([(t or "").replace(BLANK, " ") == b for t, b in zip(text, back)], pa.bool_())],
-            ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"],
-        )
-
-
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces and crc32 of the best segmentation, the scores of the four best ones,
     and whether decoding gives the text back."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = decode(segment(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    return docs.mapInArrow(_digest, "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = segment(docs, public_tokenizers.path("piece_bpe_32k.model"), add=("n_pieces", "ids_crc32", "scores", "decoded"))
+    back = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
+    return out.select("doc_id", "n_pieces", "ids_crc32", "scores", back.alias("round_trip"))
