@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Bits of one slice of the filter (what bitmap_construct_agg makes), and the most slices of a filter.
 SLICE_BITS, MOST_SLICES = 32768, 4096
@@ -47,7 +47,7 @@ def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the shuffle and changes no result.
 
     Defined cases: null text counts as empty; a null id is larger than any other; of rows that
-    repeat id and text, one is kept, whichever comes first in the files. Columns of ``df`` that bear a result's name are
+    repeat id and text, one is kept (they cannot be told apart). Columns of ``df`` that bear a result's name are
     replaced; other columns stay. An empty table gives an empty result."""
     results = ("text_sha256", "keep_id", "group_size", "kept")
     rows = df.drop(*results).withColumn("text_sha256", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
@@ -68,10 +68,17 @@ def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tagged = tagged.withColumn("__maybe", maybe).drop("__a", "__b", "__abits", "__bbits", "__abits_slice", "__bbits_slice")
 
     alone = tagged.where(~F.col("__maybe")).drop("__maybe").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    some = tagged.where("__maybe").withColumn("__place", place).drop("__maybe")
-    groups = some.groupBy(F.col("text_sha256").alias("__sha")).agg(F.min("__place").alias("__first"), F.count("*").alias("group_size"))
-    some = some.join(groups, F.col("text_sha256") == F.col("__sha")).withColumns({"keep_id": F.col("__first.id"), "kept": F.col("__first") == F.col("__place")}).drop("__sha", "__first", "__place")
+    some = tagged.where("__maybe").drop("__maybe")
+    ids = some.groupBy("text_sha256", F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    groups = ids.groupBy(F.col("text_sha256").alias("__sha")).agg(first.alias("f"), F.sum("n").alias("group_size"))
+    groups = written(groups.select("__sha", F.col("f.id").alias("keep_id"), F.col("f.n").alias("__firsts"), "group_size"), "groups")
+    some = some.join(groups, F.col("text_sha256") == F.col("__sha")).drop("__sha").withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col)))
+    if not groups.where("__firsts > 1").isEmpty():  # rows that repeat the smallest id: one of them
+        ties = F.col("kept") & (F.col("__firsts") > 1)
+        one = F.row_number().over(Window.partitionBy("text_sha256").orderBy("keep_id")) == 1
+        some = some.where(~ties).unionByName(some.where(ties).withColumn("kept", one))
+    some = some.drop("__firsts")
     return alone.unionByName(some)
 
 
