@@ -102,7 +102,7 @@ def _segments(batches, path: str, mode: str, end: int, segment: int):
         ids, docs, starts, number, before, n = [], [], [0], number + 1, before + n, 0
         return out
 
-    for batch in batches:
+    for batch in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
         names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for a, b in batches_of(texts):
             for doc, own in zip(names[a:b], enc.encode_many(texts[a:b])):
