@@ -10,6 +10,7 @@ import zlib
 from functools import cache
 from heapq import heappop, heappush
 from itertools import chain, combinations, count, product
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ FALLBACK = 10.0
 #: Chunks a worker remembers. When there are more it forgets those that came in one text only (or
 #: the less frequent half), which costs time and changes no result.
 REMEMBERED = 300_000
+#: Chunks up to this length are worked out together, and so many at a time.
+SHORT, TOGETHER = 24, 8192
 
 
 class Vocabulary:
@@ -51,8 +54,76 @@ class Vocabulary:
         #: Every end of a piece, with the piece's score and id where it is one itself.
         self.ending = {p[k:]: None for p in self.number for k in range(len(p))}
         self.ending |= {p: (self.score[i], i) for p, i in self.number.items()}
+        self._number_prefixes()
         self.shown = [bytes([self.value[i]]) if i in self.value else t.replace(BLANK, " ").encode() for i, t in enumerate(self.text)]
 
+    def _number_prefixes(self) -> None:
+        """Numbers for the beginnings of pieces, and tables that lead from one to the next."""
+        alone = sorted(c for c in self.number if len(c) == 1)
+        #: A character's kind: 0 where it is no piece by itself.
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in alone]] = np.arange(1, len(alone) + 1)
+        kind, self.kinds = {c: k for k, c in enumerate(alone, 1)}, len(alone) + 1
+        node, steps = {"": 0}, {}
+        for piece in self.number:
+            if all(c in kind for c in piece):
+                for k in range(1, len(piece) + 1):
+                    if (own := node.setdefault(piece[:k], len(node))) == len(node) - 1:
+                        steps[node[piece[: k - 1]] * self.kinds + kind[piece[k - 1]]] = own
+        keys = sorted(steps)
+        self.step = np.array([*keys, np.iinfo(np.int64).max])
+        self.reached = np.array([*(steps[k] for k in keys), 0])
+        self.whole = np.array([self.number.get(p, -1) for p in node], np.int32)
+        self.scores = np.array(self.score)
+
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of all characters, and which texts ``best_many`` takes: short ones whose
+        characters are pieces themselves."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        kinds = self.kind[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return kinds, (sizes <= SHORT) & ~np.logical_or.reduceat(kinds == 0, np.cumsum(sizes) - sizes)
+
+    def best_many(self, kinds: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``best`` gives, for texts of ``sizes`` characters one behind the other: (scores, all
+        ids, number of ids of each, losses). Texts advance side by side, from each place along
+        all pieces that start there; among equal scores the shorter last piece stays."""
+        n, most = len(sizes), int(sizes.max())
+        order = np.argsort(-sizes, kind="stable")
+        long = sizes[order]
+        grid = np.zeros((most + 1, n), np.int64)
+        place = np.arange(len(kinds)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        grid[place, np.repeat(back, sizes)] = kinds
+        first, second = np.full((most + 1, n), -np.inf), np.full((most + 1, n), -np.inf)
+        came, by = np.zeros((most + 1, n), np.int8), np.full((most + 1, n), -1, np.int32)
+        first[0] = 0
+        for i in range(most):
+            at = np.arange(int(np.searchsorted(-long, -i)))
+            node, j = np.zeros(len(at), np.int64), i
+            while len(at):
+                key = node * self.kinds + grid[j, at]
+                k = np.searchsorted(self.step, key)
+                on = self.step[k] == key
+                at, node, j = at[on], self.reached[k[on]], j + 1
+                piece = self.whole[node]
+                a, piece = at[piece >= 0], piece[piece >= 0]
+                score = self.scores[piece]
+                c, one = first[i, a] + score, first[j, a]
+                second[j, a] = np.maximum(np.maximum(second[j, a], np.minimum(one, c)), second[i, a] + score)
+                first[j, a] = np.maximum(one, c)
+                b = a[c >= one]
+                came[j, b], by[j, b] = i, piece[c >= one]
+                if j == most:
+                    break
+        every, at, ids = np.arange(n), long.copy(), []
+        while at.any():
+            ids.append(by[at, every])
+            at = came[at, every].astype(np.int64)
+        rows = np.array(ids[::-1])[:, back].T
+        score = first[long, every]
+        return score[back], rows[rows >= 0].astype(np.uint32), (rows >= 0).sum(axis=1), (score - second[long, every])[back]
+
     def parts(self, text: str) -> list[str]:
         """``text`` cut between characters that no piece holds next to each other: no path crosses
         such a place, so what is best on each side is best for the whole."""
@@ -146,13 +217,16 @@ class Vocabulary:
 def merged(parts: list[list[tuple]], n: int) -> list[tuple[float, list[int]]]:
     """The ``n`` best ways to take one of each part's alternatives: (loss, choice of each part that
     is not its best as (part, rank)). Only the n - 1 parts whose second choice costs least can be
-    changed in them: any other change is no better than n - 1 single ones and no change at all."""
+    changed in them: any other change is no better than n - 1 single ones and no change at all. Nor
+    can ways be among them that n others precede by lower ranks alone."""
     loss = sorted((p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1)[: n - 1]
     some = [k for _, k in loss]
     ways = []
     for size in range(len(some) + 1):
         for chosen in combinations(sorted(some), size):
-            for ranks in product(*(range(1, len(parts[k])) for k in chosen)):
+            for ranks in product(*(range(1, len(parts[k])) for k in chosen)) if 2**size <= n else ():
+                if prod(r + 1 for r in ranks) > n:
+                    continue
                 ways.append((sum(parts[k][0][0] - parts[k][r][0] for k, r in zip(chosen, ranks)), size, list(zip(chosen, ranks))))
     ways.sort(key=lambda w: (w[0], w[1], w[2]))
     return [(w[0], w[2]) for w in ways[:n]]
@@ -167,8 +241,8 @@ class Segmenter:
             raise ValueError("a piece holds a blank behind another character")
         self.known: dict[str, tuple] = {}
         self.searched: dict[str, list] = {}
-        self.chunks, self.ids = _Numbers(), []
-        self.sizes, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.chunks, self.ids, self.used = _Numbers(), np.zeros(0, np.uint32), 0
+        self.sizes, self.starts, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.score, self.second = np.zeros(0), np.zeros(0)
 
     def _forget(self) -> None:
@@ -182,8 +256,10 @@ class Segmenter:
         for k in keep.tolist():
             self.chunks[names[k]]
         self.chunks.take()
-        self.ids = [self.ids[k] for k in keep.tolist()]
+        self.ids = self._ids(keep)
+        self.used = len(self.ids)
         self.sizes, self.score, self.second = self.sizes[keep], self.score[keep], self.second[keep]
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.hits = np.ones(len(keep), np.int32)
 
     def part(self, text: str) -> tuple[float, tuple, float]:
@@ -237,26 +313,61 @@ class Segmenter:
         cuts = [0, *(k for k in range(1, len(text)) if text[k] == BLANK and text[k - 1] != BLANK), len(text)]
         return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of chunks, one behind the other."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _learn(self, new: list[str], was: int) -> None:
+        """The best segmentations of the chunks numbered from ``was`` on."""
+        for a in range(0, len(new), TOGETHER):
+            names = new[a : a + TOGETHER]
+            n, at = len(names), was + a
+            kinds, easy = self.vocabulary.together(names)
+            sizes, score, second, own = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), []
+            if easy.any():
+                length = np.fromiter(map(len, names), np.int64, n)
+                score[easy], ids, sizes[easy], second[easy] = self.vocabulary.best_many(kinds[np.repeat(easy, length)], length[easy])
+                own.append(ids)
+            hard = np.flatnonzero(~easy)
+            found = [self.chunk(names[k]) for k in hard.tolist()]
+            score[hard], sizes[hard], second[hard] = [f[0] for f in found], [len(f[1]) for f in found], [f[2] for f in found]
+            own.append(np.fromiter(chain.from_iterable(f[1] for f in found), np.uint32))
+            if at + n > len(self.sizes):
+                self.sizes, self.starts, self.hits, self.score, self.second = (
+                    np.concatenate([x[:at], np.zeros(max(4096, (at + n) // 4) + n, x.dtype)]) for x in (self.sizes, self.starts, self.hits, self.score, self.second)
+                )
+            ids = np.concatenate(own)
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 4 + 4096 + len(ids), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            placed = np.concatenate([np.flatnonzero(easy), hard])
+            self.starts[at + placed] = self.used + np.cumsum(sizes[placed]) - sizes[placed]
+            self.sizes[at : at + n], self.score[at : at + n], self.second[at : at + n] = sizes, score, second
+            self.used += len(ids)
+
     def segment(self, text: str) -> tuple[float, np.ndarray, list[tuple[float, list[tuple]]]]:
-        """(score, ids of the best segmentation, the n best as (score, changes)); a change is
-        (place in the best ids, ids it takes the place of, new ids)."""
+        return next(self.segment_many([text]))
+
+    def segment_many(self, texts: list[str]):
+        """For each text (score, ids of the best segmentation, the n best as (score, changes)); a
+        change is (place in the best ids, ids it takes the place of, new ids)."""
         if len(self.chunks) > REMEMBERED:
             self._forget()
-        cut = self.cut(text)
+        cuts = [self.cut(t) for t in texts]
         was = len(self.chunks)
-        numbers = np.fromiter(map(self.chunks.__getitem__, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
         if len(self.chunks) > was:
-            new = [self.chunk(c) for c in self.chunks.take()]
-            self.ids += [b[1] for b in new]
-            self._grow(new, was)
-        if not cut:
-            return 0.0, np.empty(0, np.uint32), [(0.0, [])]
+            self._learn(self.chunks.take(), was)
+        at = 0
+        for cut in cuts:
+            own, at = numbers[at : at + len(cut)], at + len(cut)
+            yield self._ways(cut, own) if cut else (0.0, np.empty(0, np.uint32), [(0.0, [])])
+
+    def _ways(self, cut: list[str], numbers: np.ndarray):
         self.hits[numbers] += 1  # once a text
-        score = float(self.score[numbers].sum())
-        second = self.second[numbers]
-        own = self.ids
-        ids = np.fromiter(chain.from_iterable([own[k] for k in numbers.tolist()]), np.uint32, int(self.sizes[numbers].sum()))
-        starts = np.cumsum(self.sizes[numbers]) - self.sizes[numbers]
+        score, second, sizes = float(self.score[numbers].sum()), self.second[numbers], self.sizes[numbers]
         few = min(self.n - 1, len(second))
         if few:
             # the least losses, the first places among equal ones
@@ -266,19 +377,11 @@ class Segmenter:
         else:
             some = np.empty(0, np.int64)
         some = some[np.isfinite(second[some])]
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
         ways, out = [self.search(cut[k]) for k in some], []
         for loss, changes in merged(ways, self.n):
-            out.append((score - loss, [(int(starts[some[p]]), int(self.sizes[numbers[some[p]]]), list(ways[p][r][1])) for p, r in changes]))
-        return score, ids, out
-
-    def _grow(self, new: list, was: int) -> None:
-        need = was + len(new)
-        if need > len(self.sizes):
-            room = max(4096, 2 * need)
-            self.sizes, self.hits, self.score, self.second = (np.concatenate([x[:was], np.zeros(room - was, x.dtype)]) for x in (self.sizes, self.hits, self.score, self.second))
-        self.sizes[was:need] = [len(b[1]) for b in new]
-        self.score[was:need] = [b[0] for b in new]
-        self.second[was:need] = [b[2] for b in new]
+            out.append((score - loss, [(int(starts[some[p]]), int(sizes[some[p]]), list(ways[p][r][1])) for p, r in changes]))
+        return score, self._ids(numbers), out
 
     def decode(self, ids) -> str:
         """The text of ids: blanks for their sign, the blank in front taken off, bytes joined."""
@@ -318,8 +421,7 @@ def _segment(batches, text_at: int, path: str, n: int, add: tuple):
             texts = [t or "" for t in batch.column(text_at).slice(a, 512).to_pylist()]
             for b, c in batches_of(texts, 1 << 20):
                 out: dict[str, list] = {x: [] for x in add}
-                for t in texts[b:c]:
-                    _, best, ways = own.segment(t)
+                for _, best, ways in own.segment_many(texts[b:c]):
                     for x in add:
                         out[x].append(make[x](best, ways))
                 part = batch.slice(a + b, c - b)

@@ -413,3 +413,23 @@ def test_segment_and_decode(docs, empty):
     assert all(len(r["ids"]) == 0 and r["n_best"][0]["score"] == 0 for r in rows if not r["text"])
     assert all(a["score"] >= b["score"] for r in rows for a, b in zip(r["n_best"], r["n_best"][1:]))
     assert pieces.segment(empty, MODEL).collect() == []
+
+
+def test_chunks_side_by_side_equal_one_by_one(monkeypatch):
+    own, rng = pieces.Vocabulary(MODEL), random.Random(4)
+    words = ["".join(rng.choice("aehlnorstu▁,.1é") for _ in range(rng.randint(1, pieces.SHORT + 4))) for _ in range(2_000)]
+    words += ["▁the", "▁", "▁日本", "\U0001f600x", "a\0b"]
+    kinds, easy = own.together(words)
+    some = [w for w, e in zip(words, easy) if e]
+    assert 1_000 < len(some) < len(words)
+    score, ids, sizes, loss = own.best_many(kinds[np.repeat(easy, [len(w) for w in words])], np.array([len(w) for w in some]))
+    ends = np.cumsum(sizes)
+    got = [(s, tuple(ids[e - n : e].tolist()), x) for s, n, e, x in zip(score, sizes, ends, loss)]
+    assert got == [own.best(w) for w in some]
+    # many texts at once, one by one, and with a memory that forgets: the same
+    texts = ["", " ".join(words[:40]), "日本 語 \U0001f600", *(" ".join(rng.choices(words, k=20)) for _ in range(60))]
+    shown = lambda segmented: [(s, b.tolist(), w) for s, b, w in segmented]
+    alike = shown(pieces.Segmenter(MODEL, 4).segment_many(texts))
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    forgets = pieces.Segmenter(MODEL, 4)
+    assert alike == shown(forgets.segment(t) for t in texts)
