@@ -16,6 +16,8 @@ from .encode import batches_of, encoder
 MAGIC = b"DAC1"
 #: Bits between two entries of a rank directory, and tokens after which a segment ends.
 BLOCK, SEGMENT = 512, 1 << 19
+#: Chunks that a worker's encoder remembers here.
+REMEMBERED = 300_000
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -89,7 +91,7 @@ class Segment:
 
 def _segments(batches, path: str, mode: str, end: int, segment: int):
     """Batches of (doc_id, text) of one shard, in order, as its segments in order."""
-    enc, shard = encoder(path, mode), TaskContext.get().partitionId()
+    enc, shard = encoder(path, mode, REMEMBERED), TaskContext.get().partitionId()
     ids, docs, starts, n, number, before = [], [], [0], 0, 0, 0
 
     def flush():

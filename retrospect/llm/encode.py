@@ -5,15 +5,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from functools import cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks a worker remembers. When there are more it forgets those that came in one batch only (or
-#: the less frequent half), which costs time and changes no result.
+#: Chunks a worker remembers, unless told. When there are more it forgets those that came in one batch only (or
+#: the least frequent quarter), which costs time and changes no result.
 REMEMBERED = 200_000
 #: Characters that no normaliser here changes but by lower-casing one for one.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
@@ -27,25 +28,21 @@ PATTERN = {
 #: Byte-level alphabets write printable bytes as themselves and the others, in order, from U+0100 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTER = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
-_BLANK_PAIR = re.compile("[\t-\r ] ")
 _WHITE = re.compile("[\t-\r ]+")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 
 
-class _Numbers(dict):
-    """Numbers keys in the order in which they are first asked for; ``new`` lists those not yet taken."""
+class _Numbers(defaultdict):
+    """Numbers keys in the order in which they are first asked for."""
 
-    def __init__(self):
-        self.new: list = []
+    def __init__(self, keys=()):
+        super().__init__(count().__next__)
+        for key in keys:
+            self[key]
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def take(self) -> list:
-        new, self.new = self.new, []
-        return new
+    def last(self, n: int) -> list:
+        """The n keys numbered last, in order."""
+        return list(islice(reversed(self), n))[::-1]
 
 
 class CachedEncoder:
@@ -53,19 +50,19 @@ class CachedEncoder:
 
     A text is cut where tokens cannot join: mode "words", for tokenizers that drop white space and
     lower-case, cuts at white space; mode "blanks", for byte-level tokenizers whose tokens may
-    begin with one blank, before each blank that follows something other than white space. A chunk
-    of plain characters is cut further by the file's own pattern, and each part goes to the
-    library's model once; a chunk with other characters goes to the library whole. The chunks' ids,
-    one after the other, are the text's."""
+    begin with one blank, before each blank that follows something other than white space. What
+    holds plain characters only, the whole text as a rule, is cut by the file's own pattern, and
+    each different part goes to the library's model once; a chunk with other characters goes to
+    the library whole. The ids of parts and chunks, one after the other, are the text's."""
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.words = mode == "words"
+        self.remembered = remembered
         self.pattern = PATTERN[mode]
-        self.parts: dict[str, tuple] = {}
         self.number = _Numbers()
         self.sizes, self.starts, self.hits = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
@@ -74,18 +71,15 @@ class CachedEncoder:
     def _forget(self) -> None:
         hits = self.hits[: len(self.number)]
         keep = np.flatnonzero(hits > 1)
-        if len(keep) > REMEMBERED // 2:
-            keep = np.sort(np.argsort(-hits, kind="stable")[: REMEMBERED // 2])
+        if len(keep) > self.remembered * 3 // 4:
+            keep = np.sort(np.argsort(-hits, kind="stable")[: self.remembered * 3 // 4])
         names = list(self.number)
-        self.number = _Numbers()
-        for k in keep.tolist():
-            self.number[names[k]]
-        self.number.take()
+        self.number = _Numbers(names[k] for k in keep.tolist())
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes, dtype=np.int64)
         self.used = int(ends[-1]) if len(ends) else 0
         self.ids = self.ids[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(self.used)]
-        self.sizes, self.starts, self.hits = sizes, ends - sizes, np.ones(len(keep), np.int32)
+        self.sizes, self.starts, self.hits = sizes, ends - sizes, hits[keep] // 2 + 1
 
     def _learn(self, keys: list[str], n: int) -> None:
         """The ids of the chunks numbered from n on."""
@@ -102,53 +96,45 @@ class CachedEncoder:
         self.used += len(flat)
 
     def _look_up(self, keys: list[str]) -> list:
-        known, model, parts, plain = self.parts, self.lib.model.tokenize, self.pattern.findall, PLAIN.fullmatch
-        if len(known) > REMEMBERED // 2:
-            known.clear()
+        model, plain = self.lib.model.tokenize, PLAIN.fullmatch
         out: list = [()] * len(keys)
-        odd: list[tuple[int, str]] = []
+        odd: list[int] = []
         for k, key in enumerate(keys):
-            text = key if self.words else key[1:] if key[:1] == "\0" else " " + key
-            if not plain(text):
-                odd.append((k, text))
-                continue
-            ids: tuple = ()
-            for part in parts(text.lower() if self.words else text):
-                got = known.get(part)
-                if got is None:
-                    shown = part if part.isascii() and part.isalnum() else "".join([BYTE_LETTER[c] for c in part.encode()])
-                    got = known[part] = tuple([x.id for x in model(shown)])
-                ids += got
-            out[k] = ids
+            if plain(key):
+                out[k] = [x.id for x in model(key if key.isalnum() and key.isascii() else key.encode().decode("latin-1").translate(BYTE_LETTER))]
+            else:
+                odd.append(k)
         if odd:
-            for (k, _), e in zip(odd, self.lib.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
+            for k, e in zip(odd, self.lib.encode_batch_fast([keys[k] for k in odd], add_special_tokens=False)):
                 out[k] = e.ids
         return out
 
     def _keys(self, text: str) -> list[str]:
-        """Chunks; in mode "blanks" without their leading blank, or as they are behind a NUL."""
-        if self.words:
-            return text.split() if PLAIN.fullmatch(text) else _WHITE.split(text)
-        if PLAIN.fullmatch(text) and not _BLANK_PAIR.search(text):
-            keys = text.split(" ")
-            keys[0] = "\0" + keys[0]
-            return keys
-        first, *rest = _BEFORE_BLANK.split(text)
-        return ["\0" + first, *(x[1:] if x[1:2] != "\0" else "\0" + x for x in rest)]
+        """Parts of plain text, and other chunks as they are."""
+        cut, plain = self.pattern.findall, PLAIN.fullmatch
+        if plain(text):
+            return cut(text.lower() if self.words else text)
+        keys: list[str] = []
+        for chunk in _WHITE.split(text) if self.words else _BEFORE_BLANK.split(text):
+            if plain(chunk):
+                keys += cut(chunk.lower() if self.words else chunk)
+            else:
+                keys.append(chunk)
+        return keys
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > self.remembered:
             self._forget()
         keys = [self._keys(t) for t in texts]
         sizes = np.cumsum([0, *map(len, keys)])
         n = len(self.number)
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, sizes[-1])
         if len(self.number) > n:
-            self._learn(self.number.take(), n)
+            self._learn(self.number.last(len(self.number) - n), n)
         self.hits[numbers] += 1  # once a batch
         own = self.sizes[numbers]
         ends = np.concatenate([[0], np.cumsum(own)])
@@ -158,9 +144,9 @@ class CachedEncoder:
 
 
 @cache
-def encoder(path: str, mode: str) -> CachedEncoder:
+def encoder(path: str, mode: str, remembered: int = REMEMBERED) -> CachedEncoder:
     """One encoder a worker process."""
-    return CachedEncoder(path, mode)
+    return CachedEncoder(path, mode, remembered)
 
 
 def batches_of(texts: list, most: int = 1 << 20):

@@ -252,10 +252,7 @@ class Segmenter:
         if len(keep) > REMEMBERED // 2:
             keep = np.sort(np.argsort(-hits, kind="stable")[: REMEMBERED // 2])
         names = list(self.chunks)
-        self.chunks = _Numbers()
-        for k in keep.tolist():
-            self.chunks[names[k]]
-        self.chunks.take()
+        self.chunks = _Numbers(names[k] for k in keep.tolist())
         self.ids = self._ids(keep)
         self.used = len(self.ids)
         self.sizes, self.score, self.second = self.sizes[keep], self.score[keep], self.second[keep]
@@ -359,7 +356,7 @@ class Segmenter:
         was = len(self.chunks)
         numbers = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
         if len(self.chunks) > was:
-            self._learn(self.chunks.take(), was)
+            self._learn(self.chunks.last(len(self.chunks) - was), was)
         at = 0
         for cut in cuts:
             own, at = numbers[at : at + len(cut)], at + len(cut)
