@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, exact dedup, SimHash near-dedup, best-fit packing.
+"""A corpus pipeline: language ID, exact dedup, MinHash near-dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a
 DataFrame; all but the last return the columns of documents."""
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from retrospect.llm.common import table, written
 from retrospect.llm.exact_dedup import tag_copies
 from retrospect.llm.langid import UNKNOWN, held_out, identify, train
+from retrospect.llm.near_dedup import near_components
 from retrospect.llm.packing import pack_documents
-from retrospect.llm.simhash import simhash_components
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; five words a
-    shingle. Documents share fingerprints and groups, never all pairs."""
-    groups = simhash_components(docs, width=5)
+    """Of each group of near-duplicates the document with the smallest doc_id stays. Linked are
+    documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    groups = near_components(docs, width=5)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -41,8 +41,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("packing", packed)]
-#: Language identification, SimHash and tokenization have no SQL form; tests hold the stages against brute force.
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("packing", packed)]
+#: Language identification, MinHash and tokenization have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
