@@ -1,4 +1,4 @@
-"""N-best segmentation into a piece vocabulary, and decoding.
+"""A SentencePiece model's own encoding, N-best segmentation into its pieces, and decoding.
 
 Forward Viterbi gives, for each place of a text, the best score of what lies before it. Used as the
 heuristic of a backward A-star search over the same lattice, it is exact, so that hypotheses leave
@@ -36,7 +36,7 @@ class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.text, self.score, self.byte = [], [], {}
         self.number: dict[str, int] = {}
         for i in range(sp.get_piece_size()):
@@ -380,6 +380,10 @@ class Segmenter:
             out.append((score - loss, [(int(starts[some[p]]), int(sizes[some[p]]), list(ways[p][r][1])) for p, r in changes]))
         return score, self._ids(numbers), out
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The model's own encoding of each whole text, by the library: merges for a BPE model."""
+        return [np.array(x, np.uint32) for x in self.vocabulary.library.encode(texts)]
+
     def decode(self, ids) -> str:
         """The text of ids: blanks for their sign, the blank in front taken off, bytes joined."""
         shown = self.vocabulary.shown
@@ -395,6 +399,7 @@ CHANGE = pa.struct([("at", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.i
 #: What ``segment`` can add: type in Arrow and in Spark.
 COLUMNS = {
     "ids": (pa.list_(pa.int32()), "array<int>"),
+    "best_ids": (pa.list_(pa.int32()), "array<int>"),
     "n_best": (pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(CHANGE))])), "array<struct<score:double,changes:array<struct<at:bigint,n:int,ids:array<int>>>>>"),
     "scores": (pa.list_(pa.float64()), "array<double>"),
     "n_pieces": (pa.int64(), "bigint"),
@@ -406,30 +411,33 @@ COLUMNS = {
 def _segment(batches, text_at: int, path: str, n: int, add: tuple):
     own = segmenter(path, n)
     make = {
-        "ids": lambda best, ways: best.astype(np.int32),
-        "n_best": lambda best, ways: [{"score": s, "changes": [{"at": x, "n": y, "ids": z} for x, y, z in c]} for s, c in ways],
-        "scores": lambda best, ways: [s for s, _ in ways],
-        "n_pieces": lambda best, ways: len(best),
-        "ids_crc32": lambda best, ways: zlib.crc32(best.astype("<u4").tobytes()),
-        "decoded": lambda best, ways: own.decode(best.tolist()),
+        "ids": lambda ids, best, ways: ids.astype(np.int32),
+        "best_ids": lambda ids, best, ways: best.astype(np.int32),
+        "n_best": lambda ids, best, ways: [{"score": s, "changes": [{"at": x, "n": y, "ids": z} for x, y, z in c]} for s, c in ways],
+        "scores": lambda ids, best, ways: [s for s, _ in ways],
+        "n_pieces": lambda ids, best, ways: len(ids),
+        "ids_crc32": lambda ids, best, ways: zlib.crc32(ids.astype("<u4").tobytes()),
+        "decoded": lambda ids, best, ways: own.decode(ids.tolist()),
     }
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             texts = [t or "" for t in batch.column(text_at).slice(a, 512).to_pylist()]
             for b, c in batches_of(texts, 1 << 20):
                 out: dict[str, list] = {x: [] for x in add}
-                for _, best, ways in own.segment_many(texts[b:c]):
+                for ids, (_, best, ways) in zip(own.encode_many(texts[b:c]), own.segment_many(texts[b:c]), strict=True):
                     for x in add:
-                        out[x].append(make[x](best, ways))
+                        out[x].append(make[x](ids, best, ways))
                 part = batch.slice(a + b, c - b)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[x], COLUMNS[x][0]) for x in add)], [*part.schema.names, *add])
 
 
-def segment(df: DataFrame, path: str, text_col: str = "text", n: int = 4, add: tuple = ("ids", "n_best")) -> DataFrame:
-    """Adds to each row what ``add`` names: ids (array of the best segmentation's ids), n_best (the
-    ``n`` best ones, best first: score, and how they differ from ids), scores (of the n best),
+def segment(df: DataFrame, path: str, text_col: str = "text", n: int = 4, add: tuple = ("ids", "best_ids", "n_best")) -> DataFrame:
+    """Adds to each row what ``add`` names: ids (array, the model's own encoding by the library),
     n_pieces, ids_crc32 (of the ids as little-endian unsigned 32 bits) and decoded (the text the
-    ids stand for). A score is the sum of the pieces' scores in the model file; a character without
+    ids stand for); beside them best_ids (the segmentation of the highest score), n_best (the ``n``
+    best ones, best first: score, and how they differ from best_ids) and scores (of the n best).
+    A BPE model encodes by merges, whose ranks its scores are: there, the segmentation of the
+    highest sum is seldom the encoding; for a unigram model it is. A score is the sum of the pieces' scores in the model file; a character without
     a piece is written as its bytes, at the lowest score less FALLBACK. A blank is put before a
     text, and blanks become U+2581.
 
@@ -437,7 +445,7 @@ def segment(df: DataFrame, path: str, text_col: str = "text", n: int = 4, add: t
     order; each different chunk's best path is worked out once a worker, and the search for more
     runs over the chunks that the n best segmentations can differ in.
 
-    Defined cases: null or empty text: no ids, one way of score 0; fewer than ``n`` ways where the
+    Defined cases: null or empty text: no ids in either, one way of score 0; fewer than ``n`` ways where the
     lattice has fewer; a text's own U+2581 decodes as a blank; columns of ``df`` that bear a
     result's name are replaced, others stay; rows that repeat give rows that repeat."""
     df = df.drop(*add)
@@ -460,8 +468,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", n: int = 4) -> DataFr
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: pieces and crc32 of the best segmentation, the scores of the four best ones,
-    and whether decoding gives the text back."""
+    """Per document: pieces and crc32 of the model's own encoding, whether decoding it gives the text
+    back, and the scores of the four segmentations with the highest sums."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
