@@ -82,15 +82,15 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log files named after orders 0 to 399: two a number (archive and running log, one only for
+def log_segments(spark: SparkSession, sf_dir: str, below: int | None = 400, moved: int = 1000) -> DataFrame:
+    """Log files named after the orders ``below`` (None: all): two a number (archive and running log, one only for
     multiples of 4), no number 5 modulo 37, headers that name another number (11 modulo 50), an
     older timeline, and partial files."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 400").select(F.col("o_orderkey").alias("o"))
+    rows = table(spark, sf_dir, "orders").where("true" if below is None else f"o_orderkey < {below}").select(F.col("o_orderkey").alias("o"))
     segno = F.floor(F.col("o") / 2)
     rows = rows.withColumn("segno", segno.cast("long")).where("segno % 37 <> 5 and not (segno % 4 = 0 and o % 2 = 1)")
     return rows.select(
         F.when(F.col("segno") < 20, 1).otherwise(2).alias("timeline"), "segno", F.concat(F.lit("f"), F.col("o").cast("string")).alias("name"), F.when(F.col("o") % 2 == 0, "archive").otherwise("log").alias("source"),
         F.lit(16 << 20).cast("long").alias("bytes"), (F.col("segno") == 199).alias("partial"), F.lit(True).alias("valid"), F.when(F.col("segno") < 20, 1).otherwise(2).alias("hdr_timeline"),
-        F.when(F.col("segno") % 50 == 11, F.col("segno") + 1000).otherwise(F.col("segno")).alias("hdr_segno"),
+        F.when(F.col("segno") % 50 == 11, F.col("segno") + moved).otherwise(F.col("segno")).alias("hdr_segno"),
     )

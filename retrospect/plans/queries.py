@@ -318,16 +318,20 @@ FROM r WHERE m NOT IN (0)""")
 def xids(spark, d):
     """By number modulo 8: 0 in a summary's span, 1 outside it, 2 in the windows of the exact log,
     3 and 4 assigned to a top transaction (outside a span; without outcome), 6 elsewhere in the log."""
-    rows = X.table(spark, d, "orders").where("o_orderkey between 1 and 800").select(F.col("o_orderkey").alias("xid"), (F.col("o_orderkey") % 8).alias("m"))
+    return _xids(X.table(spark, d, "orders").where("o_orderkey between 1 and 800"), 10000)
+
+
+def _xids(orders, top):
+    rows = orders.select(F.col("o_orderkey").alias("xid"), (F.col("o_orderkey") % 8).alias("m"))
     ts = F.lit(T).cast("timestamp")
     outcomes = rows.where("m in (0, 1)").select("xid", F.lit("committed").alias("outcome"), ts.alias("commit_ts"), (F.col("m") == 0).alias("in_span"))
-    assigned = rows.where("m in (3, 4)").select(F.col("xid").alias("subxid"), (F.col("xid") + 10000).alias("top_xid"), (F.col("m") == 4).alias("in_span"))
-    exact = rows.where("m in (1, 2, 3, 6)").select(F.when(F.col("m") == 3, F.col("xid") + 10000).otherwise(F.col("xid")).alias("xid"), F.lit("committed").alias("outcome"), ts.alias("commit_ts"), F.col("m").isin(2, 3).alias("in_window"))
+    assigned = rows.where("m in (3, 4)").select(F.col("xid").alias("subxid"), (F.col("xid") + top).alias("top_xid"), (F.col("m") == 4).alias("in_span"))
+    exact = rows.where("m in (1, 2, 3, 6)").select(F.when(F.col("m") == 3, F.col("xid") + top).otherwise(F.col("xid")).alias("xid"), F.lit("committed").alias("outcome"), ts.alias("commit_ts"), F.col("m").isin(2, 3).alias("in_window"))
     return unresolved_xids(rows.select("xid"), rows.where("xid % 11 = 0").select("xid"), outcomes, assigned, exact).select("xid", "xid_role", "resolved_by", "fallback_reason", "top_xid")
 
 
-def _index(spark, d):
-    seen = X.table(spark, d, "orders").where("o_orderkey < 1000 and o_orderkey % 301 <> 300").select(F.col("o_orderkey").alias("segno"))
+def _index(spark, d, which="o_orderkey < 1000"):
+    seen = X.table(spark, d, "orders").where(f"{which} and o_orderkey % 301 <> 300").select(F.col("o_orderkey").alias("segno"))
     stamp = lambda n: F.expr(f"{X.EPOCH} + make_dt_interval(0, 0, CAST(segno AS INT) + {n}, 0)")
     return seen.select("segno", stamp(0).alias("oldest_ts"), stamp(1).alias("newest_ts")), seen.where("segno % 450 <> 449").select("segno")
 
@@ -400,3 +404,44 @@ def table_as_select(spark, d):
     out = scratch(spark, "table")
     write_table(past_orders(spark, d), out, by=["k"])
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+
+
+# The queries above that read the first ids only, over the whole table. Made-up numbers lie beyond all of its own.
+BEYOND = 10**12
+
+
+@query("unresolved_xids_whole", SQL["unresolved_xids"].replace(" WHERE o_orderkey BETWEEN 1 AND 800", "").replace("xid + 10000 ", f"xid + {BEYOND} "))
+def xids_whole(spark, d):
+    return _xids(X.table(spark, d, "orders"), BEYOND)
+
+
+@query("index_progress_whole", SQL["index_progress"].replace("o_orderkey < 1000 AND ", ""))
+def index_progress_whole(spark, d):
+    segments, built = _index(spark, d, "true")
+    return progress(segments, built).select("stable_oldest_segno", "stable_newest_segno", "completed_segments", "missing_segments", "first_gap_from_newest_segno", "first_gap_from_oldest_segno", "progress_pct")
+
+
+@query("index_queue_whole", "SELECT segno, newer <= 64 AS hot FROM (SELECT o_orderkey AS segno, row_number() OVER (ORDER BY o_orderkey DESC) AS newer FROM orders WHERE o_orderkey % 301 <> 300) WHERE segno % 450 = 449")
+def index_queue_whole(spark, d):
+    segments, built = _index(spark, d, "true")
+    return queue(segments, built, workers=4)
+
+
+@query("index_retention_whole", SQL["index_retention"].replace(" WHERE o_orderkey < 1000", ""))
+def index_retention_whole(spark, d):
+    files = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("segno"), (F.col("o_orderkey") % 17 + 1).alias("bytes"), (F.col("o_orderkey") % 5 == 0).alias("protected"))
+    return retention(files, 5000, 80)
+
+
+def _whole_files(sql):
+    return sql.replace(" WHERE o_orderkey < 400", "").replace("segno + 1000 ", f"segno + {BEYOND} ")
+
+
+@query("segment_choice_whole", _whole_files(SQL["segment_choice"]))
+def segment_choice_whole(spark, d):
+    return choose_segments(X.log_segments(spark, d, None, BEYOND)).select("segno", "timeline", "name")
+
+
+@query("segment_gaps_whole", _whole_files(SQL["segment_gaps"]))
+def segment_gaps_whole(spark, d):
+    return islands(choose_segments(X.log_segments(spark, d, None, BEYOND)))
