@@ -16,8 +16,10 @@ from .encode import batches_of, encoder
 MAGIC = b"DAC1"
 #: Bits between two entries of a rank directory, and tokens after which a segment ends.
 BLOCK, SEGMENT = 512, 1 << 19
-#: Chunks that a worker's encoder remembers here.
+#: Parts that a worker's encoder remembers here.
 REMEMBERED = 300_000
+#: How files are stored: no compression around the codes, no dictionary, a row group a row.
+STORED = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -37,58 +39,88 @@ def encode_levels(ids: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Random access to a segment's ids, without decoding what lies around them."""
-
-    def __init__(self, raw: bytes):
-        if raw[:4] != MAGIC:
+    """Random access to a segment's ids, without decoding what lies around them. ``source`` is the
+    segment's bytes, or a function (place, number of bytes) that fetches some of them: one id takes a
+    byte and a bit a level and at most one directory entry and 64 bytes of bitmap."""
+
+    def __init__(self, source):
+        self.fetch = source if callable(source) else lambda at, n: memoryview(source)[at : at + n]
+        head = bytes(self.fetch(0, 12))
+        if head[:4] != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
-        n_levels, self.n = np.frombuffer(raw, "<u4", 2, 4).tolist()
+        n_levels, self.n = np.frombuffer(head, "<u4", 2, 4).tolist()
+        #: Of each level: how many ids it holds, and where its directory, bitmap and codes begin.
         self.levels, at = [], 12
         for _ in range(n_levels):
-            n = int(np.frombuffer(raw, "<u8", 1, at)[0])
+            n = int(np.frombuffer(self.fetch(at, 8), "<u8")[0])
             blocks = -(-n // BLOCK)
-            directory = np.frombuffer(raw, "<u4", blocks + 1, at := at + 8)
-            bitmap = np.frombuffer(raw, np.uint8, blocks * BLOCK // 8, at := at + 4 * (blocks + 1))
-            chunk = np.frombuffer(raw, np.uint8, n, at := at + blocks * BLOCK // 8)
-            at += n
-            self.levels.append((directory, bitmap, chunk))
-
-    @staticmethod
-    def _rank(directory: np.ndarray, bitmap: np.ndarray, i: int) -> int:
+            bitmap = at + 8 + 4 * (blocks + 1)
+            self.levels.append((n, at + 8, bitmap, bitmap + blocks * BLOCK // 8))
+            at = bitmap + blocks * BLOCK // 8 + n
+
+    def _rank(self, level: int, i: int) -> int:
         """Bits set before place i: the directory's entry and at most 64 bytes of bitmap."""
+        _, directory, bitmap, _ = self.levels[level]
         block, within = divmod(i, BLOCK)
+        before = int(np.frombuffer(self.fetch(directory + 4 * block, 4), "<u4")[0])
         if not within:
-            return int(directory[block])
-        own = bitmap[block * BLOCK // 8 : (block * BLOCK + within + 7) // 8].copy()
+            return before
+        own = np.frombuffer(self.fetch(bitmap + block * BLOCK // 8, (within + 7) // 8), np.uint8).copy()
         if within % 8:
             own[-1] &= (1 << within % 8) - 1
-        return int(directory[block]) + int(np.bitwise_count(own).sum())
+        return before + int(np.bitwise_count(own).sum())
 
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, (directory, bitmap, chunk) in enumerate(self.levels):
-            value |= int(chunk[i]) << 8 * level
-            if not bitmap[i // 8] >> (i % 8) & 1:
+        for level, (_, _, bitmap, chunk) in enumerate(self.levels):
+            value |= self.fetch(chunk + i, 1)[0] << 8 * level
+            if not self.fetch(bitmap + i // 8, 1)[0] >> (i % 8) & 1:
                 break
-            i = self._rank(directory, bitmap, i)
+            i = self._rank(level, i)
         return value
 
     def read(self, start: int, end: int) -> np.ndarray:
         """The ids at places start to end, from these places' bytes at each level only."""
         out = np.zeros(end - start, np.uint32)
         at = np.arange(end - start)
-        for level, (directory, bitmap, chunk) in enumerate(self.levels):
+        for level, (_, _, bitmap, chunk) in enumerate(self.levels):
             if end <= start:
                 break
-            out[at] |= chunk[start:end].astype(np.uint32) << np.uint32(8 * level)
-            bits = np.unpackbits(bitmap[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :][: end - start]
+            out[at] |= np.frombuffer(self.fetch(chunk + start, end - start), np.uint8).astype(np.uint32) << np.uint32(8 * level)
+            raw = np.frombuffer(self.fetch(bitmap + start // 8, -(-end // 8) - start // 8), np.uint8)
+            bits = np.unpackbits(raw, bitorder="little")[start % 8 :][: end - start]
             at = at[bits.astype(bool)]
-            start, end = self._rank(directory, bitmap, start), self._rank(directory, bitmap, end)
+            start, end = self._rank(level, start), self._rank(level, end)
         return out
 
 
+def file_segments(file) -> list[Segment]:
+    """The segments of one file of ``write_token_ids``, in order, over an open binary file that can
+    seek. The footer tells where each row group, one segment, has its codes, which are stored as
+    they are; from there on an id is fetched by its place, and no page is read or decoded."""
+    import pyarrow.parquet as pq
+
+    meta, out = pq.ParquetFile(file).metadata, []
+
+    def at(base):
+        def fetch(place, n):
+            file.seek(base + place)
+            return file.read(n)
+
+        return fetch
+
+    for group in range(meta.num_row_groups):
+        column = next(c for c in (meta.row_group(group).column(k) for k in range(meta.num_columns)) if c.path_in_schema == "codes")
+        file.seek(column.data_page_offset)
+        head = file.read(256)
+        if meta.row_group(group).num_rows != 1 or column.compression != "UNCOMPRESSED" or MAGIC not in head:
+            raise ValueError("not a file of directly addressable codes")
+        out.append(Segment(at(column.data_page_offset + head.index(MAGIC))))
+    return out
+
+
 def _segments(batches, path: str, mode: str, end: int, segment: int):
     """Batches of (doc_id, text) of one shard, in order, as its segments in order."""
     enc, shard = encoder(path, mode, REMEMBERED), TaskContext.get().partitionId()
@@ -104,7 +136,7 @@ def _segments(batches, path: str, mode: str, end: int, segment: int):
         ids, docs, starts, number, before, n = [], [], [0], number + 1, before + n, 0
         return out
 
-    for batch in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
+    for batch in (x.slice(k, 2048) for x in batches for k in range(0, x.num_rows, 2048)):
         names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
         for a, b in batches_of(texts):
             for doc, own in zip(names[a:b], enc.encode_many(texts[a:b])):
@@ -122,9 +154,10 @@ def write_token_ids(df: DataFrame, out: str, path: str, id_col: str = "doc_id",
     """Writes the ids of every whole text, ``end`` after each, in ascending order of the id.
 
     Texts are dealt out by ranges of the id and sorted; each task writes its shard as segments of
-    about ``segment`` ids, a row of a Parquet file each: shard, segment, before (ids of the shard
-    before it), n_tokens, doc_ids, starts (each document's place in the segment, and the end) and
-    codes (see ``encode_levels``). Spark's committer publishes a shard's file once, so a lost
+    about ``segment`` ids, a row and row group of a Parquet file each: shard, segment, before (ids of
+    the shard before it), n_tokens, doc_ids, starts (each document's place in the segment, and the
+    end) and codes (see ``encode_levels``), which are stored uncompressed, so that ``file_segments``
+    reads any id at its place. Spark's committer publishes a shard's file once, so a lost
     executor leaves no half of one. A document is never split, nor held with others beyond a segment.
 
     Defined cases: null text counts as empty; a null id comes first; rows with equal ids are ordered
@@ -132,7 +165,7 @@ def write_token_ids(df: DataFrame, out: str, path: str, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     schema = "shard int, segment int, before long, n_tokens long, doc_ids array<long>, starts array<long>, codes binary"
-    ordered.mapInArrow(lambda it: _segments(it, path, mode, end, segment), schema).write.option("compression", "zstd").parquet(out)
+    ordered.mapInArrow(lambda it: _segments(it, path, mode, end, segment), schema).write.options(**STORED).parquet(out)
 
 
 def _documents(batches):

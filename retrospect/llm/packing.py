@@ -20,7 +20,7 @@ CAPACITY = 4096
 
 def _pieces(batches, text_at: int, path: str, mode: str, end: int, capacity: int, with_ids: bool):
     enc = encoder(path, mode)
-    for batch in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
+    for batch in (x.slice(k, 2048) for x in batches for k in range(0, x.num_rows, 2048)):
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
         for a, b in batches_of(texts):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
