@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +26,31 @@ def schema_plus(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names for helpers, made longer until ``df`` has none of them."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+@cache
+def _own_folder(app: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="retrospect-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (a local session, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local
+    session, as in tests, gets a folder of its own; on a cluster, whose machines would not see it, this
+    raises."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="retrospect-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
@@ -49,13 +69,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str = "cut") -> DataFrame:
+def written(df: DataFrame, what: str = "cut", instead: DataFrame | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: later stages, and tasks repeated after
-    a lost executor, start from the files instead of repeating what led to them."""
+    a lost executor, start from the files instead of repeating what led to them. ``instead`` is a
+    written table that nothing needs any more once ``df`` is there: its files are deleted."""
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if instead is not None:
+        _remove(spark, instead.written_at)
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -64,7 +89,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes, root being the component's smallest node.
 
     Nothing is collected: each round is written to the shared folder, and only a row count and a
-    checksum of it come to the driver. A node with very many neighbours is pre-aggregated where
+    checksum of it come to the driver, and a round's files go when the next one's are there. A node with very many neighbours is pre-aggregated where
     its minimum is taken; the join that hands the minimum out is a plain sort-merge join, which
     the adaptive planner may split. Null ends make no edge."""
     now = written(
@@ -85,7 +110,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = written(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges", now)
         was, is_ = is_, state(now)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

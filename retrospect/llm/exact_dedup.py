@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Bits of one slice of the filter (what bitmap_construct_agg makes), and the most slices of a filter.
-SLICE_BITS, MOST_SLICES = 32768, 4096
-BITS_A_ROW = 16
+#: Bits of one slice of the filter (what bitmap_construct_agg makes), and the most slices of a filter (32 MB).
+SLICE_BITS, MOST_SLICES = 32768, 8192
+BITS_A_HASH = 16
+#: Groups of more rows than LARGE, and the most that can be told apart as large, whatever the input.
+LARGE, MOST_LARGE = 200, 10_000
 
 
 def normalised(text):
@@ -18,73 +20,96 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), run, " ")
 
 
-def _slots(digest, slices: int) -> list:
-    """Two slots of the filter, of independent bits of the digest."""
+def _slots(hash_, slices: int) -> list:
+    """Two slots of the filter, of independent bits of the hash."""
     bits = slices * SLICE_BITS
-    return [F.pmod(F.xxhash64(digest, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
-
-
-def repeated_filter(rows: DataFrame, digest: str, n_rows: int) -> tuple[DataFrame, int]:
-    """First pass: how often each slot of the filter is hit, counted on the map side before the
-    shuffle, so that a hash which a third of all rows share arrives as one count a task. Kept are
-    the slots hit more than once, as bitmaps of 32,768 bits. Returns (slice, bits) and the number
-    of slices: 16 bits a row, at most MOST_SLICES (16 MB), which bounds what is broadcast."""
-    slices = min(MOST_SLICES, max(1, -(-n_rows * BITS_A_ROW // SLICE_BITS)))
-    slots = rows.select(F.explode(F.array(*_slots(F.col(digest), slices))).alias("slot"))
-    hit = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    bits = hit.groupBy(F.expr(f"slot div {SLICE_BITS}").alias("slice")).agg(F.bitmap_construct_agg(F.col("slot") % SLICE_BITS).alias("bits"))
+    return [F.pmod(F.xxhash64(hash_, F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+
+
+def repeated_filter(hashes: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """First pass: the 64-bit hashes that come more than once, as a Bloom filter of 16 bits each, in
+    bitmaps of 32,768 bits. Returns (slice, bits) and the number of slices, at most MOST_SLICES,
+    which bounds what is broadcast.
+
+    Hashes are counted on the map side before the shuffle, so one that a third of all rows share
+    arrives as one count a task; 8 bytes a different hash shuffle, and nothing else of a row. A
+    bitmap of all slots from each task instead would be as large as the filter for all rows, times
+    the tasks. The filter holds repeats only, so how well it tells them from others does not
+    depend on how many rows there are."""
+    repeats = written(hashes.groupBy(F.col(column).alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeats")
+    slices = min(MOST_SLICES, max(1, -(-repeats.count() * BITS_A_HASH // SLICE_BITS)))
+    slots = repeats.select(F.explode(F.array(*_slots(F.col("hash"), slices))).alias("slot"))
+    bits = slots.groupBy(F.expr(f"slot div {SLICE_BITS}").alias("slice")).agg(F.bitmap_construct_agg(F.col("slot") % SLICE_BITS).alias("bits"))
     return bits, slices
 
 
-def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Adds text_sha256 (of the normalised text), keep_id, group_size and kept to every row of
-    ``df``. Equal normalised texts form a group; the row with the smallest id stays.
+    ``df``. Equal normalised texts form a group; the row with the smallest id stays. ``columns`` are
+    those of ``df`` that the result has (all by default; the id always).
 
-    A row shuffles only if both its slots of the filter were hit more than once; the others are
-    groups of one and go straight through. Among those that shuffle, groups are counted on the
-    map side, and the join that hands the result back may be split by the adaptive planner, so a
-    hot group stays no task's burden. A filter too small for the input lets more rows through to
-    the shuffle and changes no result.
+    Each row's digest is worked out once and written with the row. A row shuffles only if its hash
+    passes the filter of repeated hashes; the others are groups of one and go straight through.
+    Those that shuffle are counted by digest and id on the map side. The results of large groups, of
+    which there can be MOST_LARGE at most, are broadcast to their rows, and only rows of smaller groups
+    go through the join that hands results back, so a hot group is no task's burden. A filter too small for its input lets more rows through to the shuffle and changes no
+    result.
 
     Defined cases: null text counts as empty; a null id is larger than any other; of rows that
-    repeat id and text, one is kept (they cannot be told apart). Columns of ``df`` that bear a result's name are
-    replaced; other columns stay. An empty table gives an empty result."""
-    results = ("text_sha256", "keep_id", "group_size", "kept")
-    rows = df.drop(*results).withColumn("text_sha256", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    bits, slices = repeated_filter(rows, "text_sha256", df.count())
-    a, b = _slots(F.col("text_sha256"), slices)
-
-    def held(column, slot):
-        byte = F.conv(F.hex(F.expr(f"substring({column}, int({slot} % {SLICE_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
-        return F.col(column).isNotNull() & (F.pmod(F.floor(byte / F.pow(F.lit(2), F.col(slot) % 8)), F.lit(2)) == 1)
-
-    def look(frame, slot, column):
-        side = F.broadcast(bits.select(F.col("slice").alias(f"{column}_slice"), F.col("bits").alias(column)))
-        return frame.join(side, F.expr(f"{slot} div {SLICE_BITS}") == F.col(f"{column}_slice"), "left")
-
-    tagged = rows.withColumns({"__a": a, "__b": b})
-    tagged = look(look(tagged, "__a", "__abits"), "__b", "__bbits")
-    maybe = F.coalesce(held("__abits", "__a") & held("__bbits", "__b"), F.lit(False))
-    tagged = tagged.withColumn("__maybe", maybe).drop("__a", "__b", "__abits", "__bbits", "__abits_slice", "__bbits_slice")
-
-    alone = tagged.where(~F.col("__maybe")).drop("__maybe").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    some = tagged.where("__maybe").drop("__maybe")
-    ids = some.groupBy("text_sha256", F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    repeat id and text, one is kept (they cannot be told apart). Columns of ``df`` that bear a
+    result's name are replaced; other columns, whatever their names, stay. An empty table gives an
+    empty result."""
+    results = ["text_sha256", "keep_id", "group_size", "kept"]
+    names = [c for c in df.columns if c not in results and (columns is None or c in (*columns, id_col))]
+    # the row's own columns travel as one, so that no name of theirs can meet a helper's
+    rows = df.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("sha"))
+    rows = written(rows.select("row", "id", "sha", F.xxhash64("sha").alias("hash")), "digests")
+    bits, slices = repeated_filter(rows, "hash")
+
+    def look(frame, n, slot):
+        side = F.broadcast(bits.select(F.col("slice").alias(f"slice{n}"), F.col("bits").alias(f"bits{n}")))
+        byte = F.conv(F.hex(F.expr(f"substring(bits{n}, int(slot{n} % {SLICE_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
+        frame = frame.withColumn(f"slot{n}", slot).join(side, F.expr(f"slot{n} div {SLICE_BITS} = slice{n}"), "left")
+        held = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col(f"slot{n}") % 8)), F.lit(2)) == 1
+        return frame.withColumn(f"held{n}", F.coalesce(held, F.lit(False))).drop(f"slice{n}", f"bits{n}", f"slot{n}")
+
+    a, b = _slots(F.col("hash"), slices)
+    tagged = look(look(rows, 1, a), 2, b).withColumn("maybe", F.col("held1") & F.col("held2")).drop("held1", "held2", "hash")
+    out = ["row", "sha", "keep_id", "group_size", "kept"]
+    alone = tagged.where("not maybe").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}).select(*out)
+
+    some = tagged.where("maybe").drop("maybe")
+    ids = some.groupBy("sha", "id").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
-    groups = ids.groupBy(F.col("text_sha256").alias("__sha")).agg(first.alias("f"), F.sum("n").alias("group_size"))
-    groups = written(groups.select("__sha", F.col("f.id").alias("keep_id"), F.col("f.n").alias("__firsts"), "group_size"), "groups")
-    some = some.join(groups, F.col("text_sha256") == F.col("__sha")).drop("__sha").withColumn("kept", F.col("keep_id").eqNullSafe(F.col(id_col)))
-    if not groups.where("__firsts > 1").isEmpty():  # rows that repeat the smallest id: one of them
-        ties = F.col("kept") & (F.col("__firsts") > 1)
-        one = F.row_number().over(Window.partitionBy("text_sha256").orderBy("keep_id")) == 1
-        some = some.where(~ties).unionByName(some.where(ties).withColumn("kept", one))
-    some = some.drop("__firsts")
-    return alone.unionByName(some)
+    groups = ids.groupBy("sha").agg(first.alias("f"), F.sum("n").alias("group_size"))
+    groups = written(groups.select("sha", F.col("f.id").alias("keep_id"), F.col("f.n").alias("firsts"), "group_size").where("group_size > 1"), "groups")
+    size = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n"), F.coalesce(F.max("group_size"), F.lit(0)).alias("most")).first()
+    bar = max(LARGE, -(-size["n"] // MOST_LARGE))  # no more than MOST_LARGE groups can have more rows
+    if size["most"] > bar:
+        large = F.broadcast(groups.where(F.col("group_size") > bar))
+        told = some.join(large, "sha", "left")
+        rest = told.where("group_size is null").select(*some.columns).join(groups.where(F.col("group_size") <= bar), "sha", "left")
+        joined = told.where("group_size is not null").unionByName(rest)
+    else:
+        joined = some.join(groups, "sha", "left")
+    joined = joined.withColumns({
+        "kept": F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("keep_id").eqNullSafe(F.col("id"))),
+        "keep_id": F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")),
+        "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
+    })
+    if not groups.where("firsts > 1").isEmpty():  # rows that repeat the smallest id: one of them
+        ties = F.col("kept") & (F.coalesce("firsts", F.lit(1)) > 1)
+        joined = written(joined.select(*out, "firsts").withColumn("place", F.monotonically_increasing_id()), "joined")
+        one = joined.where(ties).groupBy("sha").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("only"))
+        joined = joined.join(one, "place", "left").withColumn("kept", F.col("kept") & (~ties | F.coalesce("only", F.lit(False))))
+    found = alone.unionByName(joined.select(*out))
+    return found.select("row.*", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size", "kept")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from ``tag_copies`` over all documents; texts are left behind once hashed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tag_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return tag_copies(docs, columns=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP5_SQL = r"""

@@ -73,12 +73,27 @@ def test_exact_dedup(docs, empty):
 
 
 def test_exact_dedup_with_a_filter_too_small(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "BITS_A_ROW", 1)
+    monkeypatch.setattr(exact_dedup, "MOST_SLICES", 1)
+    monkeypatch.setattr(exact_dedup, "SLICE_BITS", 64)
     docs = spark.createDataFrame([(n, f"t{n % 900}") for n in range(1000)], "doc_id bigint, text string")
     got = exact_dedup.tag_copies(docs).collect()
     assert sum(r["kept"] for r in got) == 900 and len(got) == 1000
 
 
+def test_exact_dedup_of_large_groups_and_names_that_clash(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 20)
+    rows = [(n if n % 50 else None, ("hot" if n % 3 else f"t{n // 9}"), "r", "m", 1, "s") for n in range(400)] + [(1, "hot", "r", "m", 1, "s")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, maybe string, slot1 int, sha string")
+    got = exact_dedup.tag_copies(docs).collect()
+    assert len(got) == len(rows) and all((r["row"], r["maybe"], r["slot1"], r["sha"]) == ("r", "m", 1, "s") for r in got)
+    for text in {r[1] for r in rows}:
+        own = [r for r in got if r["text"] == text]
+        ids = [r[0] for r in rows if r[1] == text and r[0] is not None]
+        assert {(r["keep_id"], r["group_size"]) for r in own} == {(min(ids), len(own))} and [r["doc_id"] for r in own if r["kept"]] == [min(ids)]
+    narrow = exact_dedup.tag_copies(docs, columns=["sha"])
+    assert sorted(narrow.columns) == ["doc_id", "group_size", "keep_id", "kept", "sha", "text_sha256"] and narrow.count() == len(rows)
+
+
 # -- op6 -----------------------------------------------------------------------------------------
 
 
