@@ -5,13 +5,14 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import schema_plus, table, written
+from .common import schema_plus, table, unused, written
 from .encode import batches_of, encoder
 
 END = 1
@@ -125,27 +126,44 @@ def _without(have: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(new)
 
 
-def improve(bins: Counter, capacity: int, effort: int = 400_000) -> Counter:
-    """Local search: documents move from the emptiest bins into fuller ones, alone or in exchange
-    for one or two shorter ones, each step raising the sum of squared fills, until bins are empty,
-    the bound (all tokens over the capacity) is met or no step is left. Equal bins take a step
-    together. ``effort`` bounds the pairs of bin kinds looked at; it changes how tight the packing
-    is, never which pieces are packed."""
+def improve(bins: Counter, capacity: int) -> Counter:
+    """Local search: documents move from emptier bins into fuller ones, alone or in exchange for one
+    or two shorter ones, each step raising the sum of squared fills, until the bound (all tokens over
+    the capacity) is met or no two bins have a step left. Equal bins take a step together.
+
+    Whether two kinds of bins have a step depends on them alone, so a pair without one is not looked
+    at again; a kind that appears later is held against all others."""
     total = sum(sum(b) * n for b, n in bins.items())
     least, number = -(-total // capacity), sum(bins.values())
     full = Counter({b: n for b, n in bins.items() if sum(b) == capacity})
     open_ = Counter({b: n for b, n in bins.items() if sum(b) < capacity})
-    stuck: set = set()
-    while number > least and effort > 0:
-        low = min((b for b in open_ if b not in stuck), key=lambda b: (sum(b), b), default=None)
-        if low is None:
-            break
-        for high in sorted((b for b in open_ if b != low or open_[b] > 1), key=lambda b: (-sum(b), b)):
-            if sum(high) < sum(low):
+    fill = {b: sum(b) for b in open_}
+    seen = sorted(open_, key=lambda b: (-fill[b], b))  # kinds in the order in which they appear
+    upto, stuck = dict.fromkeys(seen, 0), {b: set() for b in seen}
+    waiting = [(fill[b], b) for b in seen]
+    heapify(waiting)
+    done: list = []  # kinds held against all of ``seen``
+    while number > least:
+        if not waiting:
+            waiting = [(fill[b], b) for b in done if b in open_ and upto[b] < len(seen)]
+            heapify(waiting)
+            done = [b for b in done if b in open_ and upto[b] == len(seen)]
+            if not waiting:
+                break
+        low = waiting[0][1]
+        if low not in open_:
+            heappop(waiting)
+            continue
+        end = len(seen)
+        fresh = sorted({b for b in seen[upto[low] : end] if b in open_ and fill[b] >= fill[low] and b not in stuck[low]}, key=lambda b: (-fill[b], b))
+        if low not in stuck[low] and open_[low] > 1 and low not in fresh:
+            fresh.append(low)
+        for high in fresh:
+            if high == low and open_[low] < 2:
                 continue
-            effort -= 1
-            pick = _exchange(low, high, capacity - sum(high))
+            pick = _exchange(low, high, capacity - fill[high])
             if pick is None:
+                stuck[low].add(high)
                 continue
             times = open_[low] // 2 if high == low else min(open_[low], open_[high])
             for b in (low, high):
@@ -158,11 +176,20 @@ def improve(bins: Counter, capacity: int, effort: int = 400_000) -> Counter:
                 elif sum(b) == capacity:
                     full[b] += times
                 else:
+                    if b not in open_:
+                        fill[b] = sum(b)
+                        seen.append(b)
+                        if b not in upto:
+                            upto[b], stuck[b] = 0, set()
+                        heappush(waiting, (fill[b], b))
+                    elif upto[b] == len(seen) and open_[b] == 1:  # it can be held against itself now
+                        heappush(waiting, (fill[b], b))
                     open_[b] += times
-                    stuck.discard(b)
             break
         else:
-            stuck.add(low)
+            heappop(waiting)
+            upto[low] = end
+            done.append(low)
     return full + open_
 
 
@@ -181,8 +208,9 @@ def plan_slots(counts: dict[int, int], capacity: int) -> list[tuple]:
     return slots
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salt_by: tuple = ("doc_id", "piece")) -> DataFrame:
-    """Adds sequence_id and offset to each row of ``pieces`` (column length, 1 to ``capacity``).
+def pack_pieces(pieces: DataFrame, row: str, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to each row of ``pieces`` (column length, 1 to ``capacity``; ``row``
+    names a column that numbers the rows, no two alike).
 
     How pieces fit depends on their lengths alone, so the driver plans over the histogram of
     lengths (at most ``capacity`` rows, whatever the input's size): best fit, then the local search
@@ -192,21 +220,21 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salt_by: tuple = ("
 
     ``pieces`` is read twice and must give the same rows both times: pass a written table. Rows
     that repeat are pieces of their own. An empty table gives an empty result."""
-    per_length = pieces.groupBy("length").count().collect()
-    counts = {r["length"]: r["count"] for r in per_length}
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     salts = max(64, -(-max(counts.values(), default=0) // 100_000))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__base"))
-    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*salt_by)) - 1
-    ranked = salted.withColumn("__rank", rank).join(base, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__base"))
-    schema = "length long, __from long, __to long, __copies long, __sequence long, __offset long"
-    slots = pieces.sparkSession.createDataFrame(plan_slots(counts, capacity), schema)
-    placed = ranked.join(F.broadcast(slots), "length").where("__rank >= __from and __rank < __to")
-    own = F.col("__rank") - F.col("__from")
-    sequence = F.col("__sequence") + F.floor(own / F.col("__copies"))
-    offset = F.col("__offset") + (own % F.col("__copies")) * F.col("length")
+    salt, base, rank, own = unused(pieces, "salt", "base", "rank", "own")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)))
+    sizes = salted.groupBy("length", salt).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("length", salt, F.coalesce(before, F.lit(0)).alias(base))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy(row)) - 1).join(bases, ["length", salt]).withColumn(rank, F.col(rank) + F.col(base))
+    schema = "length long, first long, until long, copies long, sequence long, place long"
+    names = unused(pieces, "first", "until", "copies", "sequence", "place")
+    slots = pieces.sparkSession.createDataFrame(plan_slots(counts, capacity), schema).toDF("length", *names)
+    first, until, copies, sequence, place = map(F.col, names)
+    placed = ranked.join(F.broadcast(slots), "length").where((F.col(rank) >= first) & (F.col(rank) < until)).withColumn(own, F.col(rank) - first)
+    sequence = sequence + F.floor(F.col(own) / copies)
+    offset = place + (F.col(own) % copies) * F.col("length")
     return placed.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
@@ -218,15 +246,22 @@ def packed_sequences(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))
 
 
-def pack_documents(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, text_col: str = "text", with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
     """Cuts, encodes and packs whole documents: the pieces of ``token_pieces`` with sequence_id and
-    offset. Null or empty texts are the end id alone; null ids and repeated rows are packed like
-    any other; columns of ``df`` that bear a result's name are replaced, others stay."""
-    pieces = written(token_pieces(df.drop("sequence_id", "offset"), path, text_col, with_ids=with_ids, capacity=capacity), "pieces")
-    return pack_pieces(pieces, capacity, (id_col, "piece"))
+    offset.
+
+    Defined cases: null or empty texts are the end id alone; null ids and repeated rows are packed like
+    any other; columns of ``df`` that bear a result's name are replaced, others, whatever their
+    names, stay; an empty table gives an empty result. Which of several pieces of one length goes where
+    depends on the order of rows; the number of sequences does not."""
+    made = token_pieces(df.drop("sequence_id", "offset"), path, text_col, with_ids=with_ids, capacity=capacity)
+    (row,) = unused(made, "row")
+    pieces = written(made.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    return pack_pieces(pieces, row, capacity).drop(row)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from ``pack_documents`` over all documents."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -11,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from retrospect.llm import bitslice, chat, dac, embedding_dedup, exact_dedup, langid, line_dedup, packing, pieces, simhash, url_filter
 from retrospect.llm.encode import CachedEncoder
@@ -286,6 +288,35 @@ def test_local_search_keeps_all_and_never_adds_bins(seed):
     assert -(-sum(n * c for n, c in counts.items()) // 100) <= sum(better.values()) <= sum(first.values())
 
 
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=25), st.sampled_from([60, 61, 100, 128]))
+@settings(max_examples=80, deadline=None)
+def test_no_step_is_left_after_the_search(counts, capacity):
+    once = packing.improve(packing.best_fit(counts, capacity), capacity)
+    assert sum(packing.improve(once, capacity).values()) == sum(once.values())
+    tokens = sum(n * c for n, c in counts.items())
+    if sum(once.values()) > -(-tokens // capacity):
+        for low in once:
+            for high in once:
+                if sum(low) <= sum(high) < capacity and (low != high or once[low] > 1):
+                    assert packing._exchange(low, high, capacity - sum(high)) is None
+
+
+def test_few_bins_reach_the_optimum():
+    """Small cases against the least number of bins, by trying all ways."""
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = [rng.randrange(1, 11) for _ in range(rng.randrange(1, 8))]
+
+        def least(k, bins):
+            if k == len(sizes):
+                return len(bins)
+            ways = [least(k + 1, bins[:i] + [b + sizes[k]] + bins[i + 1 :]) for i, b in enumerate(bins) if b + sizes[k] <= 10]
+            return min([*ways, least(k + 1, [*bins, sizes[k]])])
+
+        got = sum(packing.improve(packing.best_fit(Counter(sizes), 10), 10).values())
+        assert least(0, []) <= got <= least(0, []) + 1
+
+
 def test_local_search_empties_bins():
     # best fit leaves 60+30 twice and 50; exchanging frees the room
     bins = packing.improve(Counter({(40, 45): 1, (30, 60): 1, (10, 15): 1}), 100)
