@@ -93,8 +93,10 @@ class Model:
         fill = np.array([np.count_nonzero(self.masks >> np.uint64(k) & np.uint64(1)) / len(self.masks) for k in range(len(self.langs))])
         return fill**self.hashes
 
-    def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """(language, score) of each whole text."""
+    def judge(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """(language, score, evidence) of each whole text: the language's share of what all have, and
+        the share of the text's n-grams that the language has, both less false positives. N-grams of
+        blanks alone, which stand for digits and the like, are no evidence."""
         raw, starts = joined([t.encode() for t in texts])
         raw = folded(raw)
         hit, total = np.zeros((len(self.langs), len(texts))), np.zeros(len(texts))
@@ -102,7 +104,10 @@ class Model:
             value, n = grams(raw, starts, width)
             if not len(value):
                 continue
+            blank = np.concatenate([[0], np.cumsum(value == np.uint64(int.from_bytes(b" " * width, "big") | width << 56))])
             found, ends = self.languages(value), np.concatenate([[0], np.cumsum(n)])
+            found[np.diff(blank).astype(bool)] = 0
+            n = n - (blank[ends[1:]] - blank[ends[:-1]])
             for k in range(len(self.langs)):
                 bits = np.concatenate([[0], np.cumsum(found >> np.uint64(k) & np.uint64(1), dtype=np.int64)])
                 hit[k] += bits[ends[1:]] - bits[ends[:-1]]
@@ -111,38 +116,44 @@ class Model:
         sure = ((hit - total * wrong) / np.maximum(1 - wrong, 1e-9)).clip(min=0)
         best, sums = sure.argmax(axis=0), sure.sum(axis=0)
         score = np.where(sums > 0, sure.max(axis=0, initial=0) / np.where(sums > 0, sums, 1), 0.0)
+        share = sure.max(axis=0, initial=0) / np.maximum(total, 1)
         langs = [(self.langs[b] if s > 0 else self.default) if has_letter(t) else UNKNOWN for b, s, t in zip(best, sums, texts)]
-        return langs, [float(s) if x != UNKNOWN else 0.0 for s, x in zip(score, langs)]
-
-
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 8_000, grams_a_language: int = 30_000, ratio: float = 0.5, slots: int = 1 << 20, hashes: int = 3) -> Model:
-    """Fits the filters on a bounded sample of the labelled rows of ``df``: about ``sample`` rows a
-    language, chosen by a hash of the text, whole texts. An n-gram enters the filter of each
-    language in which it is at least ``ratio`` times as frequent as where it is most frequent; at
-    most ``grams_a_language`` a language, the most frequent. That bounds what the driver gets. A
-    slot holds up to 64 languages; more are refused. Rows with a null language teach nothing."""
-    known = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        return langs, *([float(s) if x != UNKNOWN else 0.0 for s, x in zip(y, langs)] for y in (score, share))
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 8_000, ratio: float = 0.5, hashes: int = 3) -> Model:
+    """Fits the filters on a bounded sample of the labelled rows of ``df``: about ``sample`` different
+    texts a language, chosen by a hash of the text, whole texts; a text that repeats is taken once,
+    however often it does. All n-grams of the sample count. One enters the filter of each language in which it is at least ``ratio`` times as
+    frequent as where it is most frequent. A slot holds up to 64 languages; more are refused. There
+    are at least 8 slots for each n-gram of the largest language.
+
+    Defined cases: rows with a null language teach nothing, null texts count as empty; of languages
+    that are equally frequent the last in order is the default; no labelled rows give a model that
+    knows no language."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    known = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("key"))
+    sizes = {r["lang"]: r for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("texts")).limit(65).collect()}
     if len(sizes) > 64:
         raise ValueError("a filter slot holds at most 64 languages")
     if not sizes:
         return Model((), np.zeros(2, np.uint64), hashes, UNKNOWN)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    drawn = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    share = F.create_map(*[x for k, r in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / max(r["texts"], 1))))])
+    drawn = known.where(F.pmod("key", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    drawn = drawn.groupBy("lang", "key").agg(F.first("text").alias("text")).select("lang", "text")
     counts = drawn.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang, by_gram = Window.partitionBy("lang"), Window.partitionBy("gram")
-    rate = counts.where("n >= 3").withColumn("p", F.col("n") / F.sum("n").over(by_lang))
-    own = rate.where(F.col("n") > 0).withColumn("top", F.max("p").over(by_gram)).where(F.col("p") >= ratio * F.col("top"))
-    kept = own.withColumn("place", F.row_number().over(by_lang.orderBy(F.desc("n"), "gram"))).where(F.col("place") <= grams_a_language)
+    rate = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    kept = rate.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= ratio * F.col("top"))
     rows = kept.select("lang", "gram").toArrow()
 
     langs = tuple(sorted(sizes))
-    masks = np.zeros(slots, np.uint64)
     value = rows.column("gram").to_numpy().view(np.uint64)
-    bit = np.uint64(1) << np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.uint64)
+    at = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.uint64)
+    slots = 1 << max(10, int(8 * np.bincount(at.astype(np.int64), minlength=1).max() - 1).bit_length())
+    masks = np.zeros(slots, np.uint64)
     for m in MULTIPLIERS[:hashes]:
-        np.bitwise_or.at(masks, (value * np.uint64(m)) >> np.uint64(64 - slots.bit_length() + 1), bit)
-    return Model(langs, masks, hashes, max(sizes, key=lambda k: (sizes[k], k)))
+        np.bitwise_or.at(masks, (value * np.uint64(m)) >> np.uint64(64 - slots.bit_length() + 1), np.uint64(1) << at)
+    return Model(langs, masks, hashes, max(sizes, key=lambda k: (sizes[k]["n"], k)))
 
 
 def _judge(batches, text_at: int, model):
@@ -151,16 +162,17 @@ def _judge(batches, text_at: int, model):
         start = size = 0
         for k in range(len(texts) + 1):
             if k == len(texts) or (size and size + len(texts[k] or "") > 1 << 20):
-                langs, scores = model.value.judge([t or "" for t in texts[start:k]])
+                langs, scores, shares = model.value.judge([t or "" for t in texts[start:k]])
                 part = batch.slice(start, k - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], [*part.schema.names, "lang_pred", "score", "evidence"])
                 start, size = k, 0
             if k < len(texts):
                 size += len(texts[k] or "")
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (0 to 1: the language's share of the evidence) to each row.
+    """Adds lang_pred, score (0 to 1: the language's share of what all languages have of the text) and
+    evidence (0 to 1: the share of the text's n-grams that the language has) to each row.
 
     All n-grams of the whole text are looked up; per language the hits are counted and corrected by
     the filter's false-positive rate; the largest count decides, the first in order on a tie.
@@ -168,11 +180,11 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Defined cases: null, or no letter: ``und``, score 0; letters but no evidence: the language most
     frequent in training, score 0; a model of no labelled rows says ``und`` to all. Columns of
     ``df`` that bear a result's name are replaced, others stay."""
-    df = df.drop("lang_pred", "score")
+    df = df.drop("lang_pred", "score", "evidence")
     if not model.langs:
-        return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "evidence": F.lit(0.0)})
     sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
-    return df.mapInArrow(lambda it: _judge(it, at, sent), schema_plus(df, "lang_pred string, score double"))
+    return df.mapInArrow(lambda it: _judge(it, at, sent), schema_plus(df, "lang_pred string, score double, evidence double"))
 
 
 def held_out(id_col):
@@ -181,6 +193,7 @@ def held_out(id_col):
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and evidence, over all documents; taught by those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     model = train(docs.where(~F.col("held_out")))
-    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "evidence")
