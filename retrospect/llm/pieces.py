@@ -7,8 +7,9 @@ the agenda from the best one on."""
 from __future__ import annotations
 
 import zlib
+from array import array
+from bisect import insort
 from functools import cache
-from heapq import heappop, heappush
 from itertools import chain, combinations, count, product
 from math import prod
 
@@ -28,6 +29,8 @@ FALLBACK = 10.0
 REMEMBERED = 300_000
 #: Chunks up to this length are worked out together, and so many at a time.
 SHORT, TOGETHER = 24, 8192
+#: Characters of a part from which its forward scores are kept for the search that may follow.
+LONG = 4096
 
 
 class Vocabulary:
@@ -47,7 +50,8 @@ class Vocabulary:
                 self.byte[int(piece[3:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.number[piece] = i
-        self.longest = max(map(len, self.number))
+        #: The last long part whose best path was found, and its forward scores.
+        self.last: tuple = ("", [])
         self.low = min(s for s in (self.score[i] for i in self.number.values()) if s > -1e8) - FALLBACK
         self.inside = {p[k : k + 2] for p in self.number for k in range(len(p) - 1)}
         self.value = {i: b for b, i in self.byte.items()}
@@ -130,23 +134,43 @@ class Vocabulary:
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside]
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
+    def edges(self, text: str, j: int) -> list[tuple]:
+        """The edges of the lattice that end at place j, shortest first: (start, score, ids)."""
+        number, here = self.number, []
+        if text[j - 1] not in number:
+            raw = text[j - 1].encode("utf-8", "replace")
+            here.append((j - 1, self.low, tuple(self.byte[b] for b in raw)))
+        for i in range(j - 1, -1, -1):
+            piece = text[i:j]
+            if piece not in self.ending:  # no longer one ends here either
+                break
+            if (n := number.get(piece)) is not None:
+                here.append((i, self.score[n], (n,)))
+        return here
+
     def lattice(self, text: str) -> list[list[tuple]]:
-        """For each place the edges that end there, shortest first: (start, score, ids)."""
-        number, score = self.number, self.score
-        ends: list[list[tuple]] = [[]]
+        """For each place the edges that end there."""
+        return [[], *(self.edges(text, j) for j in range(1, len(text) + 1))]
+
+    def forward(self, text: str) -> array:
+        """The best score of what lies before each place."""
+        get, low, absent, out = self.ending.get, self.low, self, array("d", [0.0])
         for j in range(1, len(text) + 1):
-            here = []
-            if text[j - 1] not in number:
-                raw = text[j - 1].encode("utf-8", "replace")
-                here.append((j - 1, self.low, tuple(self.byte[b] for b in raw)))
-            for i in range(j - 1, -1, -1):
-                piece = text[i:j]
-                if piece not in self.ending:  # no longer one ends here either
+            best, i = float("-inf"), j - 1
+            while i >= 0:
+                found = get(text[i:j], absent)
+                if found is absent:
+                    if i == j - 1:
+                        best = out[i] + low
                     break
-                if (n := number.get(piece)) is not None:
-                    here.append((i, score[n], (n,)))
-            ends.append(here)
-        return ends
+                if found is not None:
+                    if (c := out[i] + found[0]) > best:
+                        best = c
+                elif i == j - 1:
+                    best = out[i] + low
+                i -= 1
+            out.append(best)
+        return out
 
     def best(self, text: str) -> tuple[float, tuple, float]:
         """(score, ids) of the best path of one part, and what the second best one loses: forward
@@ -182,26 +206,29 @@ class Vocabulary:
             first.append(one)
             second.append(two)
             by.append(edge)
-        place, ids = len(text), ()
+        if len(text) >= LONG:
+            self.last = text, first
+        place, back = len(text), []
         while place:
             place, own = by[place]
-            ids = own + ids
-        return one, ids, one - two
+            back.append(own)
+        return one, tuple(chain.from_iterable(reversed(back))), one - two
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple]]:
-        """The ``n`` best paths (score, ids) of one part, best first."""
+        """The ``n`` best paths (score, ids) of one part, best first.
+
+        Hypotheses on the agenda stand for sets of paths that have none in common, and the heuristic is
+        exact, so each is sure of one path of its value: only as many of the best as are still asked
+        for are kept, whatever the text's length. Edges are worked out where the search comes by."""
         if len(text) == 1:
-            ((_, s, ids),) = self.lattice(text)[1]
+            ((_, s, ids),) = self.edges(text, 1)
             return [(s, ids)]
-        ends = self.lattice(text)
-        forward = [0.0]
-        for here in ends[1:]:
-            forward.append(max([forward[i] + s for i, s, _ in here]))
+        forward = self.last[1] if self.last[0] == text else self.forward(text)
         order = count()  # among equal scores the newest hypothesis first: straight to the start
         agenda = [(-forward[-1], 0, len(text), 0.0, None)]
         out: list[tuple[float, tuple]] = []
         while agenda and len(out) < n:
-            _, _, place, behind, path = heappop(agenda)
+            _, _, place, behind, path = agenda.pop(0)
             if not place:
                 ids: list[int] = []
                 while path is not None:
@@ -209,8 +236,9 @@ class Vocabulary:
                     path = path[1]
                 out.append((behind, tuple(ids)))
                 continue
-            for i, s, ids in ends[place]:
-                heappush(agenda, (-(forward[i] + s + behind), -next(order), i, s + behind, (ids, path)))
+            for i, s, ids in self.edges(text, place):
+                insort(agenda, (-(forward[i] + s + behind), -next(order), i, s + behind, (ids, path)), key=lambda x: x[:2])
+            del agenda[n - len(out) :]
         return out
 
 
@@ -270,7 +298,7 @@ class Segmenter:
         """The best score and ids of a chunk, and what its second best segmentation loses."""
         names = self.vocabulary.parts(text)
         if len(names) == 1:
-            return self.vocabulary.best(text)  # kept as a chunk
+            return self.vocabulary.best(text) if len(text) < LONG else self.part(text)  # kept as a chunk
         parts = [self.part(x) for x in names]
         return sum([p[0] for p in parts]), tuple(chain.from_iterable([p[1] for p in parts])), min([p[2] for p in parts])
 
