@@ -83,6 +83,20 @@ def written(df: DataFrame, what: str = "cut", instead: DataFrame | None = None)
     return out
 
 
+def counted_join(rows: DataFrame, groups: DataFrame, on: list[str], how: str, size: str = "n", large: int = 200, most: int = 10_000) -> DataFrame:
+    """``rows`` joined (inner or left) with ``groups``, a written table of one row a key, whose column
+    ``size`` tells how many rows the key has. Groups of more rows than ``large`` and than a ``most``-th
+    of all rows, of which there can be ``most`` at most, are broadcast, and only the rows of smaller
+    groups shuffle: no key is a task's burden."""
+    told = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("all"), F.coalesce(F.max(size), F.lit(0)).alias("most")).first()
+    bar = max(large, -(-told["all"] // most))
+    if told["most"] <= bar:
+        return rows.join(groups, on, how)
+    found = rows.join(F.broadcast(groups.where(F.col(size) > bar)), on, "left")
+    rest = found.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= bar), on, how)
+    return found.where(F.col(size).isNotNull()).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph: alternate large-star and small-star rounds until the
     edges stay as they are. Returns (node, root) for each node of an edge between different

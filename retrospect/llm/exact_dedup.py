@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import counted_join, table, written
 
 #: Bits of one slice of the filter (what bitmap_construct_agg makes), and the most slices of a filter (32 MB).
 SLICE_BITS, MOST_SLICES = 32768, 8192
 BITS_A_HASH = 16
-#: Groups of more rows than LARGE, and the most that can be told apart as large, whatever the input.
-LARGE, MOST_LARGE = 200, 10_000
+#: Rows of a group from which its result may be broadcast (see ``counted_join``).
+LARGE = 200
 
 
 def normalised(text):
@@ -51,7 +51,7 @@ def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     Each row's digest is worked out once and written with the row. A row shuffles only if its hash
     passes the filter of repeated hashes; the others are groups of one and go straight through.
     Those that shuffle are counted by digest and id on the map side. The results of large groups, of
-    which there can be MOST_LARGE at most, are broadcast to their rows, and only rows of smaller groups
+    which there are few whatever the input, are broadcast to their rows, and only rows of smaller groups
     go through the join that hands results back, so a hot group is no task's burden. A filter too small for its input lets more rows through to the shuffle and changes no
     result.
 
@@ -83,15 +83,7 @@ def tag_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
     groups = ids.groupBy("sha").agg(first.alias("f"), F.sum("n").alias("group_size"))
     groups = written(groups.select("sha", F.col("f.id").alias("keep_id"), F.col("f.n").alias("firsts"), "group_size").where("group_size > 1"), "groups")
-    size = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n"), F.coalesce(F.max("group_size"), F.lit(0)).alias("most")).first()
-    bar = max(LARGE, -(-size["n"] // MOST_LARGE))  # no more than MOST_LARGE groups can have more rows
-    if size["most"] > bar:
-        large = F.broadcast(groups.where(F.col("group_size") > bar))
-        told = some.join(large, "sha", "left")
-        rest = told.where("group_size is null").select(*some.columns).join(groups.where(F.col("group_size") <= bar), "sha", "left")
-        joined = told.where("group_size is not null").unionByName(rest)
-    else:
-        joined = some.join(groups, "sha", "left")
+    joined = counted_join(some, groups, ["sha"], "left", "group_size", LARGE)
     joined = joined.withColumns({
         "kept": F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("keep_id").eqNullSafe(F.col("id"))),
         "keep_id": F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")),

@@ -7,9 +7,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, schema_plus, table
+from .common import SPACE, counted_join, schema_plus, table, written
 
 _SPACE = SPACE.encode()
+#: Rows of a line from which its verdict may be broadcast (see ``counted_join``).
+COMMON = 200
 
 
 def line_key(line: bytes) -> bytes:
@@ -17,26 +19,33 @@ def line_key(line: bytes) -> bytes:
     return line.strip(_SPACE).lower()
 
 
+def text_id(text: bytes) -> int:
+    """What stands for the id of a row that has none."""
+    return int.from_bytes(xxhash.xxh64_digest(text, 42), "big", signed=True)
+
+
 def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least)
 
 
 def _hashes(batches, least: int):
-    """(row key, two halves of the 128-bit hash) for each different key of a document."""
+    """(has, id, two halves of the 128-bit hash) for each different key of a row. A row without id is
+    known by its text: has is 0 and id a hash of it."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        ids, one, two = [], [], []
+        out: list[list] = [[], [], [], []]
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
             text = text.as_py() or b""
+            has, own = (1, i) if i is not None else (0, text_id(text))
             for key in {line_key(x) for x in text.split(b"\n")}:
                 if _long_enough(key, least):
                     h = xxhash.xxh3_128_intdigest(key)
-                    ids.append(i)
-                    one.append((h >> 64) - (1 << 63))
-                    two.append((h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            if len(ids) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "h1", "h2"])
-                ids, one, two = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "h1", "h2"])
+                    for column, x in zip(out, (has, own, (h >> 64) - (1 << 63), (h & 0xFFFFFFFFFFFFFFFF) - (1 << 63))):
+                        column.append(x)
+            if len(out[0]) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["has", "id", "h1", "h2"])
+                out = [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["has", "id", "h1", "h2"])
 
 
 def _cut(batches, text_at: int, drop_at: int, least: int):
@@ -67,35 +76,46 @@ def _cut(batches, text_at: int, drop_at: int, least: int):
             yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
 
 
-def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
+def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, documents: int = 2) -> DataFrame:
     """Adds kept_text, n_lines (before) and n_dropped to each row of ``df``.
 
     Texts are split at ``\\n``. A line's key is the line stripped of white space at both ends with
-    A-Z in lower case. Keys of at least ``least`` code points that at least two documents hold
+    A-Z in lower case. Keys of at least ``least`` code points that at least ``documents`` documents hold
     lose all their lines but for those in the document with the smallest id. Other lines stay, in
     their order.
 
-    Lines travel as 128-bit hashes, once a document. The count of documents a key is a minimum and
-    a maximum of ids, combined on the map side, so a line that a third of the documents hold
-    arrives as a row a task; handing the verdict back is a plain join that the adaptive planner may
-    split. What a document has to drop is gathered by document and is at most its own lines.
-
-    Defined cases: a null or empty text is one empty line; a null id counts as a document of its
-    own that comes before all others; rows that share an id are one document, and each of them
-    loses the same lines; an empty table gives an empty result; columns of ``df`` that bear a
-    result's name are replaced, others stay."""
-    docs = df.drop("kept_text", "n_lines", "n_dropped").withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
-    lines = docs.select("__id", text_col).mapInArrow(lambda it: _hashes(it, least), "id long, h1 long, h2 long")
-    repeated = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    gone = lines.join(repeated, ["h1", "h2"]).where("id > first")
-    drops = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
-    both = docs.join(drops, "__id", "left").drop("__id")
-    at = both.columns.index(text_col), both.columns.index("__drop")
-    schema = schema_plus(both.drop("__drop"), "kept_text string, n_lines long, n_dropped long")
-    return both.mapInArrow(lambda it: _cut(it, *at, least), schema)
+    Lines travel as 128-bit hashes, once a document. The count of documents a key is combined on the
+    map side (for two documents the smallest and the largest id tell), so a line that a third of the
+    documents hold arrives as a row a task. Verdicts on lines of very many documents,
+    of which there are few whatever the input, are broadcast to the lines; the others are joined. What a document has to drop
+    is gathered by document and is at most its own lines.
+
+    Defined cases: a null or empty text is one empty line; a null id comes before all others, and rows
+    without id are one document if their texts are equal, else each its own, in the order of a
+    hash; rows that share an id are one document, and each of them loses the same lines; an empty
+    table gives an empty result; columns of ``df`` that bear a result's name are replaced, others,
+    whatever their names, stay."""
+    names = [c for c in df.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    lines = docs.mapInArrow(lambda it: _hashes(it, least), "has int, id long, h1 long, h2 long")
+    place = F.struct("has", "id")
+    if documents == 2:
+        held = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last")
+    else:
+        held = lines.distinct().groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") >= documents)
+    repeated = written(held.select("h1", "h2", "first", "n"), "repeated")
+    gone = counted_join(lines, repeated, ["h1", "h2"], "inner", "n", COMMON)
+    drops = gone.where(place > F.col("first")).groupBy("has", "id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    # the row's own columns travel as one, so that no name of theirs can meet a helper's
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))  # as text_id
+    both = df.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col(id_col).isNotNull().cast("int").alias("has"), F.coalesce(F.col(id_col).cast("long"), text_key).alias("id"))
+    both = both.join(drops, ["has", "id"], "left").select("row", "text", "drop")
+    cut = both.mapInArrow(lambda it: _cut(it, 1, 2, least), schema_plus(both.drop("drop"), "kept_text string, n_lines long, n_dropped long"))
+    return cut.select("row.*", "kept_text", "n_lines", "n_dropped")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from ``drop_repeated_lines`` over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

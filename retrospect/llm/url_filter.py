@@ -48,26 +48,27 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     if (bound["bytes"] or 0) <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    rows = df.drop("host", "path", "rule", "verdict")
-    kept = rows.columns
-    rows = rows.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__row": F.monotonically_increasing_id()})
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    # the row's own columns travel as one, so that no name of theirs can meet a helper's
+    rows = df.select(F.struct(*kept).alias("row"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("number"))
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     lengths = F.array(*[F.lit(x) for x in bound["lengths"]]).cast("array<int>")
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.expr("path").substr(F.lit(1), n))
     texts = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
-    wide = rows.withColumn("__digest", F.explode_outer(F.transform(texts, lambda t: F.sha2(t.cast("binary"), 256))))
-    met = wide.join(known, (F.substring("__digest", 1, SHORT) == F.col("r_short")) & (F.col("__digest") == F.col("r_digest")), "left")
+    wide = rows.withColumn("digest", F.explode_outer(F.transform(texts, lambda t: F.sha2(t.cast("binary"), 256))))
+    met = wide.join(known, (F.substring("digest", 1, SHORT) == F.col("r_short")) & (F.col("digest") == F.col("r_digest")), "left")
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), (F.col("r_verdict") == "block").alias("block"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
-    best = F.max(F.when(F.col("r_digest").isNotNull(), rank)).alias("__best")
-    found = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*kept, "host", "path"]], best)
-    return found.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    best = F.max(F.when(F.col("r_digest").isNotNull(), rank)).alias("best")
+    found = met.groupBy("number").agg(*[F.first(c).alias(c) for c in ("row", "host", "path")], best)
+    return found.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from ``judge_urls`` over all pages."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
