@@ -157,7 +157,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
 
 
 def _judge(batches, text_at: int, model):
-    for batch in batches:
+    for batch in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
         texts = batch.column(text_at).to_pylist()
         start = size = 0
         for k in range(len(texts) + 1):

@@ -106,7 +106,7 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarra
 
 
 def _sketches(batches, text_at: int, width: int, bands: int):
-    for batch in batches:
+    for batch in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
         for a, b in batches_of(texts, 1 << 19):
             sets = [shingles(t.encode("utf-8", "replace"), width) for t in texts[a:b]]
