@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-# -- fixed values: the thirteen kinds of log records, in their order ------------------------------
+# -- fixed values: the thirteen kinds of log records, in their order, their groups, and those that are not counted
 KINDS = (
     "heap_insert", "heap_delete", "heap_update", "heap_hot_update", "heap_confirm", "heap_lock", "heap_inplace",
     "heap2_prune", "heap2_visible", "heap2_multi_insert", "heap2_lock_updated", "xlog_fpi", "xlog_fpi_for_hint",
@@ -68,22 +68,30 @@ def check_relation(info: RelationInfo) -> str:
     return f"mode={info.mode} has_external={str(info.has_external).lower()}"
 
 
-_UNITS = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "TB": 1 << 40}
+#: Kilobytes of the units, in any case; none is kB. Bytes must make whole kilobytes.
+_UNITS = {"": 1, "kb": 1, "mb": 1 << 10, "gb": 1 << 20, "tb": 1 << 30}
+_SIZE = re.compile(r"\s*(\d+)\s*([A-Za-z]{0,2})\s*")
 
 
 def parse_size(text: str) -> tuple[int, str]:
-    """Bytes and canonical form of a memory limit: 1kB to 32GB; whole kilobytes; any case."""
-    m = re.fullmatch(r"\s*(\d+)\s*([A-Za-z]+)\s*", text)
-    if not m or m[2].upper() not in _UNITS:
+    """Bytes and canonical form of a memory limit from 1kB to 32GB: a whole number and a unit (kB if
+    there is none). The canonical form has the largest unit that gives a whole number."""
+    m = _SIZE.fullmatch(str(text))
+    unit = m[2].lower() if m else None
+    if unit not in (*_UNITS, "b") or (unit == "b" and int(m[1]) % 1024):
         raise HistoryError(f"invalid memory limit: {text!r}")
-    size = int(m[1]) * _UNITS[m[2].upper()]
-    if size % 1024 or not 1024 <= size <= 32 << 30:
+    kb = int(m[1]) // 1024 if unit == "b" else int(m[1]) * _UNITS[unit]
+    if not 1 <= kb <= 32 << 20:
         raise HistoryError(f"memory limit out of range (1kB to 32GB): {text!r}")
-    unit = m[2].upper()
-    return size, f"{int(m[1])}{'kB' if unit == 'KB' else unit}"
+    name, n = "kB", kb
+    for larger in ("MB", "GB", "TB"):
+        if n % 1024:
+            break
+        name, n = larger, n // 1024
+    return kb << 10, f"{n}{name}"
 
 
-# name: (default, least, most) for numbers, (default, choices) for words, (default,) for texts and switches
+# fixed values. name: (default, least, most) for numbers, (default, choices) for words, (default,) for texts and switches
 SETTINGS = {
     "archive_dest": (None,), "archive_dir": (None,), "target_snapshot": (None,), "debug_log_dir": (None,),
     "memory_limit": ("1GB",), "spill_mode": ("auto", ("auto", "memory", "disk")), "parallel_workers": (8, 0, 16),
@@ -102,8 +110,10 @@ def settings(**given) -> dict:
         rule = SETTINGS[name]
         if len(rule) == 3 and not (isinstance(value, int) and rule[1] <= value <= rule[2]):
             raise HistoryError(f"{name} must be from {rule[1]} to {rule[2]}")
-        if len(rule) == 2 and value not in rule[1]:
-            raise HistoryError(f"{name} must be one of {', '.join(rule[1])}")
+        if len(rule) == 2:
+            value = str(value).lower()
+            if value not in rule[1]:
+                raise HistoryError(f"{name} must be one of {', '.join(rule[1])}")
         out[name] = parse_size(value)[1] if name == "memory_limit" else value
     return out
 

@@ -30,8 +30,8 @@ def invisible_to(snapshot: str | None, xid="xid"):
 
 
 def with_outcomes(op_log: DataFrame, xact_log: DataFrame | None, target_ts, now_ts, *, xid_assign: DataFrame | None = None, snapshot: str | None = None, clog: DataFrame | None = None, anchor_lsn: int | None = None) -> DataFrame:
-    """Adds outcome, commit_ts, commit_lsn and ``undo`` (committed after the target, by time or
-    unseen by the snapshot, and not after now) to each record from the anchor on.
+    """Adds outcome, commit_ts, commit_lsn, ``undo`` (committed after the target, by time or
+    unseen by the snapshot, and not after now) and ``before`` (committed by the target, and seen) to each record from the anchor on.
 
     A record's transaction is its top transaction: as logged, else as assigned, else its own. A log
     that carries outcome, commit_ts and commit_lsn itself needs no ``xact_log`` and no join. An
@@ -46,7 +46,8 @@ def with_outcomes(op_log: DataFrame, xact_log: DataFrame | None, target_ts, now_
     own = F.col("top_xid") if "top_xid" in op_log.columns else F.lit(None).cast("long")
     ops = ops.withColumn("__xid", F.coalesce(own, F.col("__top"), F.col("xid"))).drop("__top")
     if xact_log is not None:
-        known = xact_log.select(F.col("xid").alias("__x"), "outcome", "commit_ts", "commit_lsn")
+        # the last word on a transaction, however often it is logged
+        known = xact_log.groupBy(F.col("xid").alias("__x")).agg(F.max(F.struct("commit_lsn", "commit_ts", "outcome")).alias("__o")).select("__x", "__o.outcome", "__o.commit_ts", "__o.commit_lsn")
         ops = ops.drop("outcome", "commit_ts", "commit_lsn").join(known, F.col("__xid") == F.col("__x"), "left").drop("__x")
     unseen = invisible_to(snapshot, "__xid")
     if snapshot and clog is not None:
@@ -58,7 +59,8 @@ def with_outcomes(op_log: DataFrame, xact_log: DataFrame | None, target_ts, now_
     # a transaction without a logged commit has no place of its own in the log: the record's counts
     place = F.coalesce(F.when(F.col("commit_lsn") != 0, F.col("commit_lsn")), F.col("lsn"))
     undo = (F.col("outcome") == "committed") & (F.col("commit_ts") <= F.lit(now_ts)) & (unseen | (F.col("commit_ts") > F.lit(target_ts)))
-    return ops.withColumns({"commit_lsn": place, "undo": F.coalesce(undo, F.lit(False))}).withColumnRenamed("__xid", "resolved_xid")
+    before = (F.col("outcome") == "committed") & ~unseen & (F.col("commit_ts") <= F.lit(target_ts))
+    return ops.withColumns({"commit_lsn": place, "undo": F.coalesce(undo, F.lit(False)), "before": F.coalesce(before, F.lit(False))}).withColumnRenamed("__xid", "resolved_xid")
 
 
 def row_changes(op_log: DataFrame, rel: str | None = None) -> DataFrame:
@@ -71,8 +73,13 @@ def row_changes(op_log: DataFrame, rel: str | None = None) -> DataFrame:
 
 
 def reverse_ops(changes: DataFrame) -> DataFrame:
-    """The inverse of each change, newest first by (commit_lsn, lsn): an insert is removed, a
-    delete added back, an update replaced."""
+    """The inverse of each change: an insert is removed, a delete added back, an update replaced. Rows
+    come in no order; ``newest_first`` gives that of applying them one by one."""
     kind = F.col("kind")
     op = F.when(kind.isin(*INSERTS), "remove").when(kind.isin(*DELETES), "add").otherwise("replace")
     return changes.select(op.alias("reverse_op"), "commit_lsn", "lsn", F.when(kind.isin(*INSERTS), None).otherwise(F.col("old_row")).alias("old_row"), F.when(kind.isin(*DELETES), None).otherwise(F.col("new_row")).alias("new_row"))
+
+
+def newest_first(reverse: DataFrame) -> DataFrame:
+    """Reverse changes in the order in which they would be applied one after the other."""
+    return reverse.orderBy(F.desc("commit_lsn"), F.desc("lsn"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions.rounding import percent
+from ..model import KINDS, Index, RelationInfo
 from ..operators.apply import undo_delete_keys, undo_upserts
 from ..operators.diff import diff
 from ..operators.images import before_images, reassemble
 from ..operators.profile import profile_detail, profile_summary
-from ..operators.summary import merge_spans, progress, prune_segments, queue, retention
-from ..operators.unsafe import unsafe_facts
+from ..operators.summary import VERSION, merge_spans, progress, prune_segments, queue, retention
+from ..operators.unsafe import facts_of_records, unsafe_facts
 from ..operators.visibility import with_outcomes
 from ..operators.xids import unresolved_xids
 from ..sources.segments import choose_segments, find_anchor, islands
@@ -222,10 +223,10 @@ def snapshot_clog(spark, d):
     return history(X.orders_current(spark, d), ops, T, xact_log=xacts.where("xid % 2 = 1"), clog=xacts.select("xid", "outcome"), snapshot=f"1:{top}:", keys=["k"], now_ts=NOW)
 
 
-_ORDER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(__import__("retrospect.model", fromlist=["KINDS"]).KINDS)) + " END"
+_ORDER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
 _EVENTS = """
 SELECT event_id AS lsn, ts, event_id % 13 AS m, user_id % 10 = 0 AS aborted,
-  ['heap_insert', 'heap_delete', 'heap_update', 'heap_hot_update', 'heap_confirm', 'heap_lock', 'heap_inplace', 'heap2_prune', 'heap2_visible', 'heap2_multi_insert', 'heap2_lock_updated', 'xlog_fpi', 'xlog_fpi_for_hint'][event_id % 13 + 1] AS kind FROM events
+  ['""" + "', '".join(KINDS) + """'][event_id % 13 + 1] AS kind FROM events
 """
 _COUNTED = f"""
 SELECT kind AS op_kind, CASE WHEN kind IN ('heap_insert', 'heap2_multi_insert') THEN 'insert' WHEN kind IN ('heap_update', 'heap_hot_update', 'heap_inplace') THEN 'update'
@@ -254,16 +255,24 @@ def percent_rounding(spark, d):
     return X.table(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount")).distinct().withColumn("pct", percent(F.col("discount") * 12.5))
 
 
-@query("before_images", f"SELECT new_k AS row_id, minute * 10 + 1 AS lsn, old_price, new_price FROM ({LOG}) WHERE c IN (1, 2, 7) UNION ALL SELECT old_k, minute * 10 + 1, old_price, NULL FROM ({LOG}) WHERE c = 3")
+_IMAGES = f"SELECT minute * 10 + 1 AS lsn, coalesce(old_k, new_k) % 1000000 AS k, CASE WHEN c IN (0, 3, 6, 11) THEN kind ELSE 'change' END AS what, old_price, new_price, c FROM ({LOG})"
+
+
+@query("before_images", f"SELECT k AS row_id, lsn, old_price, new_price FROM ({_IMAGES})")
 def row_images(spark, d):
-    """The old rows of a log that has new ones only, from the versions before them."""
-    orders = X.table(spark, d, "orders")
-    c = F.col("o_orderkey") % 7
-    first = F.when(c == 1, F.col("o_totalprice") - 1).when(c == 2, F.col("o_totalprice") - 2).otherwise(F.col("o_totalprice"))
-    base = orders.where(c.isin(1, 2, 3)).select(F.col("o_orderkey").alias("row_id"), F.struct(first.alias("price")).alias("image"))
-    log = X.orders_log(spark, d).where((F.col("xid") % 100).isin(1, 2, 3, 7))
-    after = log.select(F.coalesce("new_row.k", "old_row.k").alias("row_id"), "lsn", "kind", F.when(F.col("new_row").isNotNull(), F.struct(F.col("new_row.price").alias("price"))).alias("image"))
-    return before_images(base, after).select("row_id", "lsn", F.col("old_row.price").alias("old_price"), F.col("new_row.price").alias("new_price"))
+    """The old rows of a log that has new ones only, from the versions before them, for every record of
+    the orders' log: inserts, updates, deletes, updates that change a key, rows inserted and
+    deleted again. A row's number stays when its key changes. Page images and locks lie between."""
+    orders = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+    c = F.col("row_id") % 7
+    first = F.when(c.isin(1, 4), F.col("o_totalprice") - 1).when(c == 2, F.col("o_totalprice") - 2).otherwise(F.col("o_totalprice"))
+    base = orders.where(c.isin(1, 2, 3, 4)).select("row_id", F.struct(first.alias("price")).alias("image"))
+    log = X.orders_log(spark, d).where("outcome = 'committed'")
+    number = F.coalesce("new_row.k", "old_row.k") % 1000000
+    after = log.select(number.alias("row_id"), "lsn", "kind", F.when(F.col("new_row").isNotNull(), F.struct(F.col("new_row.price").alias("price"))).alias("image"))
+    pages = base.where(c == 1).select("row_id", F.lit(0).cast("long").alias("lsn"), F.lit("xlog_fpi").alias("kind"), "image")
+    locks = base.select("row_id", F.lit(1).cast("long").alias("lsn"), F.lit("heap_lock").alias("kind"), F.lit(None).cast(base.schema["image"].dataType).alias("image"))
+    return before_images(base, after.unionByName(pages).unionByName(locks)).select("row_id", "lsn", F.col("old_row.price").alias("old_price"), F.col("new_row.price").alias("new_price"))
 
 
 @query("chunk_reassembly", "SELECT doc_id AS value_id, CAST(strlen(text) AS BIGINT) AS bytes, md5(text) AS digest FROM documents WHERE text <> ''")
@@ -280,16 +289,6 @@ _FILES = "SELECT *, CASE WHEN segno < 20 THEN 1 ELSE 2 END AS timeline, CASE WHE
 _CHOSEN = f"SELECT hdr AS segno, timeline, 'f' || arg_min(o, CASE WHEN o % 2 = 0 THEN 0 ELSE 1 END) AS name FROM ({_FILES}) WHERE timeline = 2 GROUP BY hdr, timeline"
 
 
-@query("segment_choice", _CHOSEN)
-def segment_choice(spark, d):
-    return choose_segments(X.log_segments(spark, d)).select("segno", "timeline", "name")
-
-
-@query("segment_gaps", f"SELECT min(segno) AS first_segno, max(segno) AS last_segno, CAST(count(*) AS BIGINT) AS n FROM (SELECT segno, segno - row_number() OVER (ORDER BY segno) AS run FROM ({_CHOSEN})) GROUP BY run")
-def segment_gaps(spark, d):
-    return islands(choose_segments(X.log_segments(spark, d)))
-
-
 @query("anchor", "SELECT o_orderkey AS checkpoint_lsn, o_orderkey * 10 AS redo_lsn FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey <= 5050 ORDER BY o_orderkey DESC LIMIT 1")
 def anchor(spark, d):
     marks = X.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("checkpoint_lsn"), (F.col("o_orderkey") * 10).alias("redo_lsn"), F.expr(f"{X.EPOCH} + make_dt_interval(0, 0, CAST(o_orderkey AS INT), 0)").alias("checkpoint_ts"))
@@ -308,59 +307,16 @@ def unsafe_windows(spark, d):
     return unsafe_facts(facts, xacts, T, NOW).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("unresolved_xids", """
-WITH r AS (SELECT o_orderkey AS xid, o_orderkey % 8 AS m FROM orders WHERE o_orderkey BETWEEN 1 AND 800)
-SELECT xid, CASE WHEN xid % 11 = 0 THEN 'unsafe' ELSE 'touched' END AS xid_role,
-  CASE m WHEN 1 THEN 'exact_all' WHEN 2 THEN 'exact_window' WHEN 3 THEN 'exact_window' WHEN 4 THEN 'unresolved' WHEN 5 THEN 'unresolved' WHEN 6 THEN 'exact_all' ELSE 'unresolved' END AS resolved_by,
-  CASE WHEN xid % 11 = 0 THEN 'unsafe_xid' WHEN m = 1 THEN 'summary_outcome_outside_span' WHEN m = 2 THEN 'summary_missing_outcome' WHEN m = 3 THEN 'summary_assignment_outside_span' WHEN m = 4 THEN 'summary_missing_top_outcome' WHEN m = 6 THEN 'summary_missing_outcome' ELSE 'summary_missing_assignment' END AS fallback_reason,
-  CASE WHEN m IN (3, 4) THEN xid + 10000 END AS top_xid
-FROM r WHERE m NOT IN (0)""")
-def xids(spark, d):
-    """By number modulo 8: 0 in a summary's span, 1 outside it, 2 in the windows of the exact log,
-    3 and 4 assigned to a top transaction (outside a span; without outcome), 6 elsewhere in the log."""
-    return _xids(X.table(spark, d, "orders").where("o_orderkey between 1 and 800"), 10000)
-
-
-def _xids(orders, top):
-    rows = orders.select(F.col("o_orderkey").alias("xid"), (F.col("o_orderkey") % 8).alias("m"))
-    ts = F.lit(T).cast("timestamp")
-    outcomes = rows.where("m in (0, 1)").select("xid", F.lit("committed").alias("outcome"), ts.alias("commit_ts"), (F.col("m") == 0).alias("in_span"))
-    assigned = rows.where("m in (3, 4)").select(F.col("xid").alias("subxid"), (F.col("xid") + top).alias("top_xid"), (F.col("m") == 4).alias("in_span"))
-    exact = rows.where("m in (1, 2, 3, 6)").select(F.when(F.col("m") == 3, F.col("xid") + top).otherwise(F.col("xid")).alias("xid"), F.lit("committed").alias("outcome"), ts.alias("commit_ts"), F.col("m").isin(2, 3).alias("in_window"))
-    return unresolved_xids(rows.select("xid"), rows.where("xid % 11 = 0").select("xid"), outcomes, assigned, exact).select("xid", "xid_role", "resolved_by", "fallback_reason", "top_xid")
-
-
-def _index(spark, d, which="o_orderkey < 1000"):
-    seen = X.table(spark, d, "orders").where(f"{which} and o_orderkey % 301 <> 300").select(F.col("o_orderkey").alias("segno"))
-    stamp = lambda n: F.expr(f"{X.EPOCH} + make_dt_interval(0, 0, CAST(segno AS INT) + {n}, 0)")
-    return seen.select("segno", stamp(0).alias("oldest_ts"), stamp(1).alias("newest_ts")), seen.where("segno % 450 <> 449").select("segno")
-
-
-@query("index_progress", """
-WITH s AS (SELECT o_orderkey AS segno, o_orderkey % 450 <> 449 AS built FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 301 <> 300),
-g AS (SELECT generate_series AS n FROM generate_series(0, (SELECT max(segno) FROM s))),
-b AS (SELECT n FROM g LEFT JOIN s ON s.segno = n WHERE s.segno IS NULL OR NOT built)
-SELECT (SELECT min(segno) FROM s) AS stable_oldest_segno, (SELECT max(segno) FROM s) AS stable_newest_segno, (SELECT CAST(count(*) AS BIGINT) FROM s WHERE built) AS completed_segments,
-  (SELECT CAST(count(*) AS BIGINT) FROM b) AS missing_segments, (SELECT max(n) FROM b) AS first_gap_from_newest_segno, (SELECT min(n) FROM b) AS first_gap_from_oldest_segno,
-  (SELECT count(*) FROM s WHERE built) * 100.0::DOUBLE / (SELECT count(*) FROM g) AS progress_pct""")
-def index_progress(spark, d):
-    segments, built = _index(spark, d)
-    return progress(segments, built).select("stable_oldest_segno", "stable_newest_segno", "completed_segments", "missing_segments", "first_gap_from_newest_segno", "first_gap_from_oldest_segno", "progress_pct")
-
-
-@query("index_queue", "SELECT o_orderkey AS segno, (SELECT count(*) FROM orders o WHERE o.o_orderkey < 1000 AND o.o_orderkey % 301 <> 300 AND o.o_orderkey >= s.o_orderkey) <= 64 AS hot FROM orders s WHERE o_orderkey < 1000 AND o_orderkey % 301 <> 300 AND o_orderkey % 450 = 449")
-def index_queue(spark, d):
-    segments, built = _index(spark, d)
-    return queue(segments, built, workers=4)
-
-
 @query("span_merge", """
-WITH e AS (SELECT CAST(floor(event_id / 500) AS BIGINT) AS segno, event_type AS rel, event_id * 3000 AS a, event_id * 3000 + 100 AS b FROM events),
-x AS (SELECT *, max(b) OVER (PARTITION BY segno, rel ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM e),
-n AS (SELECT *, sum(CASE WHEN r IS NULL OR floor(a / 8192) > floor(r / 8192) THEN 1 ELSE 0 END) OVER (PARTITION BY segno, rel ORDER BY a) AS run FROM x)
-SELECT segno, rel, min(a) AS start_lsn, max(b) AS end_lsn, CAST(count(*) AS BIGINT) AS hits FROM n GROUP BY segno, rel, run""")
+WITH e AS (SELECT CAST(floor(event_id / 500) AS BIGINT) AS segno, event_type AS rel, event_id AS i FROM events WHERE event_id % 97 <> 5),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY segno, rel ORDER BY i) <= 2 THEN 0 ELSE 1 END AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY segno, rel ORDER BY i) AS run FROM n)
+SELECT segno, rel, min(i) * 3000 AS start_lsn, max(i) * 3000 + 100 AS end_lsn, CAST(count(*) AS BIGINT) AS hits FROM r GROUP BY segno, rel, run""")
 def span_merge(spark, d):
-    rows = X.table(spark, d, "events").select(F.floor(F.col("event_id") / 500).alias("segno"), F.col("event_type").alias("rel"), (F.col("event_id") * 3000).alias("start_lsn"), (F.col("event_id") * 3000 + 100).alias("end_lsn"))
+    """Spans of 100 bytes every 3,000: 5,900 bytes lie between every other one, which join, and 8,900 between
+    every third, which do not. Some are empty and count for nothing."""
+    i = F.col("event_id")
+    rows = X.table(spark, d, "events").select(F.floor(i / 500).alias("segno"), F.col("event_type").alias("rel"), (i * 3000).alias("start_lsn"), (i * 3000 + F.when(i % 97 == 5, 0).otherwise(100)).alias("end_lsn"))
     return merge_spans(rows)
 
 
@@ -372,16 +328,8 @@ def segment_pruning(spark, d):
     return prune_segments(rows.select("segno").distinct(), own, "purchase")
 
 
-@query("index_retention", "SELECT segno, bytes FROM (SELECT *, coalesce(sum(CASE WHEN keep THEN 0 ELSE bytes END) OVER (ORDER BY segno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(bytes) OVER () AS total FROM (SELECT o_orderkey AS segno, CAST(o_orderkey % 17 + 1 AS BIGINT) AS bytes, o_orderkey % 5 = 0 AS keep FROM orders WHERE o_orderkey < 1000)) WHERE NOT keep AND total > 5000 AND total - freed > 4000")
-def index_retention(spark, d):
-    files = X.table(spark, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("segno"), (F.col("o_orderkey") % 17 + 1).alias("bytes"), (F.col("o_orderkey") % 5 == 0).alias("protected"))
-    return retention(files, 5000, 80)
-
-
 @query("relation_gate", "SELECT * FROM (VALUES ('pk', 'keyed'), ('none', 'bag'), ('unique', 'keyed'), ('partial', 'bag'), ('deferred', 'bag'), ('expression', 'bag')) t(name, mode)")
 def relation_gate(spark, d):
-    from ..model import Index, RelationInfo
-
     kinds = {"pk": (Index(("id",), primary=True),), "none": (), "unique": (Index(("code",)),), "partial": (Index(("code",), predicate=True),), "deferred": (Index(("code",), immediate=False),), "expression": (Index(("lower(code)",), expressions=True),)}
     return spark.createDataFrame([(n, RelationInfo(n, indexes=i).mode) for n, i in kinds.items()], "name string, mode string")
 
@@ -389,11 +337,11 @@ def relation_gate(spark, d):
 @query("sink_round_trip", f"SELECT * FROM ({truth()})")
 def sink_round_trip(spark, d):
     """The past written as CSV, and read again."""
-    from ..sources.sinks import scratch, write_csv
+    from ..sources.sinks import read_csv, scratch, write_csv
 
     out = scratch(spark, "csv")
     write_csv(past_orders(spark, d), out)
-    return spark.read.schema("k long, price double").option("header", True).csv(out)
+    return read_csv(spark, out, "k long, price double")
 
 
 @query("table_as_select", f"SELECT CAST(count(*) AS BIGINT) AS n, min(k) AS low, max(k) AS high FROM ({truth()})")
@@ -406,42 +354,186 @@ def table_as_select(spark, d):
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
 
 
-# The queries above that read the first ids only, over the whole table. Made-up numbers lie beyond all of its own.
+# Segments, transactions and summaries made of the whole orders table. Made-up numbers lie beyond all of its own.
 BEYOND = 10**12
+_FILES = f"SELECT *, CASE WHEN segno < 20 THEN 1 ELSE 2 END AS timeline, CASE WHEN segno % 50 = 11 THEN segno + {BEYOND} ELSE segno END AS hdr FROM (SELECT o_orderkey AS o, CAST(floor(o_orderkey / 2) AS BIGINT) AS segno FROM orders) WHERE segno % 37 <> 5 AND NOT (segno % 4 = 0 AND o % 2 = 1) AND segno <> 199"
+_CHOSEN = f"SELECT hdr AS segno, timeline, 'f' || arg_min(o, CASE WHEN o % 2 = 0 THEN 0 ELSE 1 END) AS name FROM ({_FILES}) WHERE timeline = 2 GROUP BY hdr, timeline"
+
+
+@query("segment_choice", _CHOSEN)
+def segment_choice(spark, d):
+    return choose_segments(X.log_segments(spark, d, None, BEYOND)).select("segno", "timeline", "name")
+
+
+@query("segment_gaps", f"SELECT min(segno) AS first_segno, max(segno) AS last_segno, CAST(count(*) AS BIGINT) AS n FROM (SELECT segno, segno - row_number() OVER (ORDER BY segno) AS run FROM ({_CHOSEN})) GROUP BY run")
+def segment_gaps(spark, d):
+    return islands(choose_segments(X.log_segments(spark, d, None, BEYOND)))
+
+
+@query("unresolved_xids", f"""
+WITH want(m, resolved_by, reason, up, known, so, ao, sa, aa, tf) AS (VALUES
+  (1, 'exact_all', 'summary_outcome_outside_span', false, true, 'false', 'true', 'false', 'false', 'false'),
+  (2, 'exact_window', 'summary_missing_assignment', false, true, 'false', 'false', 'false', 'false', 'false'),
+  (3, 'exact_window', 'summary_assignment_outside_span', true, true, 'false', 'false', 'false', 'true', 'false'),
+  (4, 'unresolved', 'summary_missing_top_outcome', true, false, 'false', 'false', 'true', 'true', 'false'),
+  (5, 'unresolved', 'summary_missing_assignment', false, false, 'false', 'false', 'false', 'false', 'false'),
+  (6, 'exact_all', 'summary_missing_assignment', false, true, 'false', 'false', 'false', 'false', 'false'),
+  (7, 'unresolved', 'summary_missing_outcome', true, true, 'false', 'false', 'true', 'true', 'true')),
+r AS (SELECT o_orderkey AS xid, CASE WHEN o_orderkey % 11 = 0 THEN 'unsafe' ELSE 'touched' END AS xid_role, w.*, CASE WHEN o_orderkey % 11 = 0 THEN 'unsafe_xid' ELSE reason END AS fallback_reason,
+      CASE WHEN up THEN o_orderkey + {BEYOND} END AS top_xid FROM orders JOIN want w ON o_orderkey % 8 = m)
+SELECT xid, xid_role, resolved_by, fallback_reason, top_xid, CASE WHEN known THEN epoch(TIMESTAMP '{T}')::BIGINT END AS commit_ts, 0 AS summary_missing_segments, 3 AS fallback_windows,
+  'xid=' || xid || ' xid_role=' || xid_role || ' unresolved_after_summary=true unresolved_after_exact_windows=' || CASE WHEN resolved_by = 'exact_window' THEN 'false' ELSE 'true' END ||
+  ' unresolved_after_exact_all=' || CASE WHEN resolved_by = 'unresolved' THEN 'true' ELSE 'false' END || ' fallback_reason=' || fallback_reason || ' fallback_windows=3 summary_missing_segments=0 touched_in_metadata=true' ||
+  ' span_outcome_found=' || so || ' all_outcome_found=' || ao || ' span_assignment_found=' || sa || ' all_assignment_found=' || aa || ' top_outcome_found=' || tf || ' top_xid=' || coalesce(top_xid, 0) ||
+  ' commit_ts_known=' || CASE WHEN known THEN 'true' ELSE 'false' END || ' commit_ts=' || CASE WHEN known THEN '{T}' ELSE 'null' END AS diag
+FROM r""")
+def xids(spark, d):
+    """By number modulo 8: 0 in a summary's span; 1 outside it, and in the exact log; 2 in its windows only;
+    3 assigned outside a span, the top transaction in the windows; 4 assigned, no outcome anywhere;
+    5 nowhere; 6 elsewhere in the log only; 7 assigned in a span, the top transaction's outcome outside."""
+    rows = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("xid"), (F.col("o_orderkey") % 8).alias("m"))
+    ts, m, top = F.lit(T).cast("timestamp"), F.col("m"), F.col("xid") + BEYOND
+    outcomes = rows.where("m in (0, 1, 7)").select(F.when(m == 7, top).otherwise(F.col("xid")).alias("xid"), F.lit("committed").alias("outcome"), ts.alias("commit_ts"), (m == 0).alias("in_span"))
+    assigned = rows.where("m in (3, 4, 7)").select(F.col("xid").alias("subxid"), top.alias("top_xid"), m.isin(4, 7).alias("in_span"))
+    exact = rows.where("m in (1, 2, 3, 6)").select(F.when(m == 3, top).otherwise(F.col("xid")).alias("xid"), F.lit("committed").alias("outcome"), ts.alias("commit_ts"), m.isin(2, 3).alias("in_window"))
+    return unresolved_xids(rows.select("xid"), rows.where("xid % 11 = 0").select("xid"), outcomes, assigned, exact, fallback_windows=3).withColumn("commit_ts", F.col("commit_ts").cast("long"))
+
+
+def _index(spark, d):
+    seen = X.table(spark, d, "orders").where("o_orderkey % 301 <> 300").select(F.col("o_orderkey").alias("segno"))
+    stamp = lambda n: F.expr(f"{X.EPOCH} + make_dt_interval(0, 0, CAST(segno AS INT) + {n}, 0)")
+    return seen.select("segno", stamp(0).alias("oldest_ts"), stamp(1).alias("newest_ts")), seen.where("segno % 450 <> 449").select("segno")
+
 
+def _progress_sql(first: str, last: str, visible_ends: bool) -> str:
+    """What the view says, told from the set of numbers that are missing or without a summary between
+    the ends: the gaps are its largest and smallest; what lies beyond them is covered."""
+    far, near = ("g_old", "g_new") if visible_ends else ("NULL::BIGINT", "NULL::BIGINT")
+    stamp = lambda n: f"epoch(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({n} AS INTEGER)))::BIGINT"
+    return f"""
+WITH s AS (SELECT o_orderkey AS segno, o_orderkey % 450 <> 449 AS built FROM orders WHERE o_orderkey % 301 <> 300),
+e AS (SELECT {first} AS lo, {last} AS hi FROM s),
+b AS (SELECT n FROM (SELECT unnest(generate_series(lo, hi)) AS n FROM e) LEFT JOIN s ON s.segno = n WHERE s.segno IS NULL OR NOT built),
+g AS (SELECT max(n) AS g_new, min(n) AS g_old, count(*) AS missing FROM b),
+c AS (SELECT min(segno) AS c_lo, max(segno) AS c_hi, count(*) AS done FROM s WHERE built)
+SELECT true AS service_enabled, NULL::INTEGER AS timeline_id, lo AS stable_oldest_segno, hi AS stable_newest_segno, {stamp("c_lo")} AS stable_oldest_ts, {stamp("c_hi + 1")} AS stable_newest_ts,
+  (SELECT min({stamp("segno")}) FROM s WHERE segno > {near} AND built) AS near_contiguous_through_ts, (SELECT max({stamp("segno + 1")}) FROM s WHERE segno < {far} AND built) AS far_contiguous_until_ts,
+  g_new AS first_gap_from_newest_segno, (SELECT {stamp("segno")} FROM s WHERE segno = {near} + 1 AND built) AS first_gap_from_newest_ts,
+  g_old AS first_gap_from_oldest_segno, (SELECT {stamp("segno + 1")} FROM s WHERE segno = {far} - 1 AND built) AS first_gap_from_oldest_ts,
+  done AS completed_segments, CAST(missing AS BIGINT) AS missing_segments, done * 100.0::DOUBLE / (hi - lo + 1) AS progress_pct,
+  {"NULL::BIGINT" if visible_ends else "epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT"} AS last_query_observed_at, {"NULL::BOOLEAN" if visible_ends else "false"} AS last_query_summary_ready,
+  {"NULL::BIGINT" if visible_ends else "4::BIGINT"} AS last_query_summary_span_fallback_segments, {"NULL::BIGINT" if visible_ends else "2::BIGINT"} AS last_query_metadata_fallback_segments,
+  {"NULL::BIGINT" if visible_ends else "CAST(floor(epoch(TIMESTAMP '2024-02-01 00:00:00') + missing * 6 / 4.0) AS BIGINT)"} AS estimated_completion_at, '{"none" if visible_ends else "external"}' AS state_source, {str(not visible_ends).lower()} AS daemon_state_present,
+  {str(not visible_ends).lower()} AS daemon_state_stale, {"NULL::BIGINT" if visible_ends else "epoch(TIMESTAMP '2024-01-31 23:59:40')::BIGINT"} AS daemon_state_published_at
+FROM e, g, c"""
+
+
+def _seconds(row: DataFrame) -> DataFrame:
+    return row.select(*[F.floor(F.unix_micros(c) / 1000000).alias(c) if row.schema[c].dataType.typeName() == "timestamp" else c for c in row.columns])
+
+
+@query("index_progress", _progress_sql("min(segno)", "max(segno)", True))
+def index_progress(spark, d):
+    return _seconds(progress(*_index(spark, d)))
 
-@query("unresolved_xids_whole", SQL["unresolved_xids"].replace(" WHERE o_orderkey BETWEEN 1 AND 800", "").replace("xid + 10000 ", f"xid + {BEYOND} "))
-def xids_whole(spark, d):
-    return _xids(X.table(spark, d, "orders"), BEYOND)
 
+@query("index_progress_published", _progress_sql("-3::BIGINT", "max(segno) + 7", False))
+def index_progress_published(spark, d):
+    """Ends that a service published and that are not visible, its state stale, and a query's hint."""
+    import datetime as dt
 
-@query("index_progress_whole", SQL["index_progress"].replace("o_orderkey < 1000 AND ", ""))
-def index_progress_whole(spark, d):
-    segments, built = _index(spark, d, "true")
-    return progress(segments, built).select("stable_oldest_segno", "stable_newest_segno", "completed_segments", "missing_segments", "first_gap_from_newest_segno", "first_gap_from_oldest_segno", "progress_pct")
+    segments, built = _index(spark, d)
+    now, newest = dt.datetime(2024, 2, 1), segments.agg(F.max("segno")).first()[0] or 0
+    now = spark.range(1).select(F.lit("2024-02-01 00:00:00").cast("timestamp")).first()[0]
+    state = {"published_at": now - dt.timedelta(seconds=20), "builds": 4, "elapsed": 6, "oldest": -3, "newest": newest + 7}
+    return _seconds(progress(segments, built, state=state, hint={"observed_at": now, "span_fallback": 4, "metadata_fallback": 2}, now=now))
 
 
-@query("index_queue_whole", "SELECT segno, newer <= 64 AS hot FROM (SELECT o_orderkey AS segno, row_number() OVER (ORDER BY o_orderkey DESC) AS newer FROM orders WHERE o_orderkey % 301 <> 300) WHERE segno % 450 = 449")
-def index_queue_whole(spark, d):
-    segments, built = _index(spark, d, "true")
+@query("index_queue", "SELECT segno, newer <= 64 AS hot FROM (SELECT o_orderkey AS segno, row_number() OVER (ORDER BY o_orderkey DESC) AS newer FROM orders WHERE o_orderkey % 301 <> 300) WHERE segno % 450 = 449")
+def index_queue(spark, d):
+    segments, built = _index(spark, d)
     return queue(segments, built, workers=4)
 
 
-@query("index_retention_whole", SQL["index_retention"].replace(" WHERE o_orderkey < 1000", ""))
-def index_retention_whole(spark, d):
+@query("index_retention", "SELECT segno, bytes FROM (SELECT *, coalesce(sum(CASE WHEN keep THEN 0 ELSE bytes END) OVER (ORDER BY segno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(bytes) OVER () AS total FROM (SELECT o_orderkey AS segno, CAST(o_orderkey % 17 + 1 AS BIGINT) AS bytes, o_orderkey % 5 = 0 AS keep FROM orders)) WHERE NOT keep AND total > 5000 AND total - freed > 4000")
+def index_retention(spark, d):
     files = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("segno"), (F.col("o_orderkey") % 17 + 1).alias("bytes"), (F.col("o_orderkey") % 5 == 0).alias("protected"))
     return retention(files, 5000, 80)
 
 
-def _whole_files(sql):
-    return sql.replace(" WHERE o_orderkey < 400", "").replace("segno + 1000 ", f"segno + {BEYOND} ")
+@query("key_or_not", f"SELECT * FROM ({truth()}) WHERE (k = 5489 OR (k > 4990 AND NOT k >= 5010)) AND NOT (k = 5000 OR k IN (5001, 5002))")
+def key_or_not(spark, d):
+    """Nested conditions, as a column, names in any case."""
+    k = F.col("K")
+    return past_orders(spark, d, key_filter=((k == 5489) | ((k > 4990) & ~(k >= 5010))) & ~((k == 5000) | k.isin(5001, 5002)))
 
 
-@query("segment_choice_whole", _whole_files(SQL["segment_choice"]))
-def segment_choice_whole(spark, d):
-    return choose_segments(X.log_segments(spark, d, None, BEYOND)).select("segno", "timeline", "name")
+@query("join_full", f"SELECT coalesce(a.k, b.k) AS k, a.price AS earlier, b.price AS later FROM ({truth(4000)}) a FULL JOIN ({truth(6000)}) b USING (k) WHERE a.price IS DISTINCT FROM b.price")
+def join_full(spark, d):
+    """What two moments hold of each key, where that differs."""
+    a, b = (past_orders(spark, d, moment(t)).withColumnRenamed("price", n) for t, n in ((4000, "earlier"), (6000, "later")))
+    return a.join(b, "k", "full").where(~F.col("earlier").eqNullSafe(F.col("later"))).select("k", "earlier", "later")
 
 
-@query("segment_gaps_whole", _whole_files(SQL["segment_gaps"]))
-def segment_gaps_whole(spark, d):
-    return islands(choose_segments(X.log_segments(spark, d, None, BEYOND)))
+@query("join_semi_anti", f"SELECT CASE WHEN k IN (SELECT k FROM ({truth(1000)})) THEN 'old' ELSE 'new' END AS kind, CAST(count(*) AS BIGINT) AS n FROM ({truth()}) GROUP BY 1")
+def join_semi_anti(spark, d):
+    now, then = past_orders(spark, d), past_orders(spark, d, moment(1000)).select("k")
+    both = now.join(then, "k", "left_semi").select(F.lit("old").alias("kind")).unionByName(now.join(then, "k", "left_anti").select(F.lit("new").alias("kind")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("join_as_of", f"SELECT p.k, max(c.o_orderkey) AS before FROM ({truth()}) p JOIN orders c ON c.o_orderkey % 500 = 0 AND c.o_orderkey <= p.k GROUP BY p.k")
+def join_as_of(spark, d):
+    """The last checkpoint at or before each key: one pass over both sides in order of bands of keys."""
+    from ..operators.ranges import as_of
+
+    marks = X.table(spark, d, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("before"))
+    return as_of(past_orders(spark, d).select("k"), marks, "k", "before", band=10_000)
+
+
+@query("unsafe_from_records", "SELECT reason, storage_op, scope, CAST(count(*) AS BIGINT) AS n FROM (SELECT x, ['truncate', 'rewrite', 'smgr_create', 'smgr_truncate', 'standby_lock', 'heap_insert'][x % 6 + 1] AS op, x % 4 AS which, x % 5 = 0 AS odd FROM (SELECT o_orderkey AS x FROM orders)) r, LATERAL (SELECT CASE WHEN op IN ('truncate', 'rewrite') THEN op ELSE 'storage_change' END AS reason, CASE WHEN op NOT IN ('truncate', 'rewrite') THEN op END AS storage_op, CASE WHEN which = 1 THEN 'side' ELSE 'main' END AS scope) WHERE which IN (0, 1, 2) AND op <> 'heap_insert' AND NOT (op IN ('smgr_create', 'smgr_truncate') AND odd) GROUP BY ALL")
+def unsafe_from_records(spark, d):
+    """Facts out of records that name the relation (modulo 4: 0), its side relation (1), both (2) or another."""
+    x = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("truncate", "rewrite", "smgr_create", "smgr_truncate", "standby_lock", "heap_insert"))), (x % 6 + 1).cast("int"))
+    rels = F.when(x % 4 == 0, F.array(F.lit("orders"))).when(x % 4 == 1, F.array(F.lit("side"))).when(x % 4 == 2, F.array(F.lit("side"), F.lit("orders"))).otherwise(F.array(F.lit("other")))
+    records = X.table(spark, d, "orders").select(kind.alias("record"), x.alias("xid"), x.alias("lsn"), rels.alias("rels"), F.when(x % 5 == 0, "visibility").otherwise("main").alias("fork"), (x % 5 != 0).alias("truncates_heap"))
+    return facts_of_records(records, "orders", "side").groupBy("reason", "storage_op", "scope").agg(F.count("*").alias("n"))
+
+
+@query("pruned_history", f"SELECT * FROM ({truth()})")
+def pruned_history(spark, d):
+    """The past from a log by segments, of which those are read that were chosen and that the index names;
+    each segment without a record of the relation would be passed over."""
+    log = X.orders_log(spark, d).withColumn("segno", F.floor(F.col("lsn") / 1000))
+    other = log.withColumns({"rel": F.lit("other"), "segno": F.col("segno") + 10**6})
+    segno = F.col("segno")
+    files = log.unionByName(other).select("segno").distinct()
+    most = files.agg(F.max("segno")).first()[0] or 0
+    files = spark.range(0, most + 1).select(F.lit(1).alias("timeline"), F.col("id").alias("segno"))
+    files = files.select("timeline", "segno", F.concat(F.lit("f"), segno.cast("string")).alias("name"), F.lit("archive").alias("source"), F.lit(16 << 20).cast("long").alias("bytes"), F.lit(False).alias("partial"), F.lit(True).alias("valid"), F.lit(1).alias("hdr_timeline"), segno.alias("hdr_segno"))
+    relations = log.unionByName(other).groupBy("segno", "rel").agg(F.max("lsn").alias("last_lsn")).withColumn("version", F.lit(VERSION))
+    return history(X.orders_current(spark, d), log.unionByName(other), T, keys=["k"], now_ts=NOW, relation=RelationInfo("orders", indexes=(Index(("k",), primary=True),)), segments=files, relations=relations, conf={"spill_mode": "DISK", "memory_limit": "1MB", "show_progress": True})
+
+
+@query("log_reader", f"SELECT * FROM ({truth()})")
+def log_reader(spark, d):
+    """The past from a log that was written and read by the reader, which checks its columns and kinds."""
+    from ..sources.log import read_op_log
+    from ..sources.sinks import scratch
+
+    out, current = scratch(spark, "log"), X.orders_current(spark, d)
+    X.orders_log(spark, d).write.json(out)
+    return history(current, read_op_log(spark, out, current.schema, "json"), T, keys=["k"], now_ts=NOW)
+
+
+@query("table_saved", f"SELECT CAST(count(*) AS BIGINT) AS n, min(k) AS low, max(k) AS high FROM ({truth()})")
+def table_saved(spark, d):
+    """The past as a table of the catalog, and a query over it."""
+    import uuid
+
+    from ..sources.sinks import save_as_table, scratch
+
+    name = f"past_{uuid.uuid4().hex}"
+    save_as_table(past_orders(spark, d), name, scratch(spark, "saved"))
+    return spark.table(name).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))

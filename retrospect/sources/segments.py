@@ -6,7 +6,7 @@ import os
 import re
 import shlex
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import HistoryError
@@ -33,25 +33,30 @@ def parse_copy_command(command: str) -> str | None:
 
 
 def parse_archive_push(command: str) -> str | None:
-    """The folder of ``pg_probackup archive-push -B DIR --instance=X --wal-file-name=%f``:
-    DIR/wal/X. Remote and archive options are not understood: None."""
+    """The folder of ``pg_probackup archive-push -B DIR --instance X --wal-file-name %f``: DIR/wal/X.
+    DIR must be absolute and the file name there. Remote and archive options are not understood: None."""
     try:
         words = shlex.split(command)
     except ValueError:
         return None
     if len(words) < 2 or os.path.basename(words[0]) != "pg_probackup" or words[1] != "archive-push":
         return None
-    options: dict[str, str] = {}
+    given: dict[str, str] = {}
     rest = iter(words[2:])
-    for w in rest:
-        if w.startswith(("--remote-", "--archive-")):
+    for word in rest:
+        name, eq, value = word.partition("=")
+        if word == "-B" or word in ("--instance", "--wal-file-name"):
+            if (value := next(rest, None)) is None:
+                return None
+            given[word] = value
+        elif eq and name in ("--instance", "--wal-file-name"):
+            given[name] = value
+        elif word.startswith(("--remote-", "--archive-")):
             return None
-        name, eq, value = w.partition("=")
-        if name in ("-B", "--backup-path", "--instance", "--wal-file-name"):
-            options["-B" if name == "--backup-path" else name] = value if eq else next(rest, "")
-    if not options.get("-B") or not options.get("--instance") or options.get("--wal-file-name", "%f") != "%f":
+    folder, instance = given.get("-B", ""), given.get("--instance")
+    if instance is None or given.get("--wal-file-name") != "%f" or not folder.startswith("/"):
         return None
-    return f"{options['-B']}/wal/{options['--instance']}"
+    return f"{folder.rstrip('/') or '/'}/wal/{instance}"
 
 
 def resolve_source(archive_dest: str | None = None, archive_dir: str | None = None, archive_command: str | None = None) -> tuple[str, str]:
@@ -74,6 +79,34 @@ def segment_name(name: str, per_log: int = 256) -> tuple[int, int] | None:
     return int(name[:8], 16), int(name[8:16], 16) * per_log + int(name[16:], 16)
 
 
+SEGMENTS = "timeline int, segno long, name string, source string, bytes long, partial boolean, valid boolean, hdr_timeline int, hdr_segno long, path string"
+
+
+def discover(spark: SparkSession, archive: str, running: str | None = None, recovered: str | None = None, segment_bytes: int = 16 << 20, per_log: int = 256) -> DataFrame:
+    """The log's files in the archive, among recovered ones and in the running log, as rows for
+    ``choose_segments``. Folders are listed by the file system that their path names. Files of other
+    names are passed over; those of another size than a segment's, or that end in .partial, are partial.
+    Headers are taken to say what names do (columns hdr_timeline and hdr_segno can be replaced by
+    what a reader finds). Raises if the archive does not exist or holds no segment."""
+    rows = []
+    for source, folder in (("archive", archive), ("recovered", recovered), ("log", running)):
+        if folder is None:
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            if source == "archive":
+                raise HistoryError(f"archive folder does not exist: {folder}")
+            continue
+        for status in files.listStatus(where):
+            name = status.getPath().getName()
+            if status.isFile() and (found := segment_name(name.removesuffix(".partial"), per_log)):
+                rows.append((*found, name, source, status.getLen(), name.endswith(".partial") or status.getLen() != segment_bytes, True, *found, status.getPath().toString()))
+        if source == "archive" and not rows:
+            raise HistoryError(f"archive holds no segments: {folder}")
+    return spark.createDataFrame(rows, SEGMENTS)
+
+
 def choose_segments(segments: DataFrame) -> DataFrame:
     """One row a segment number of the highest timeline. A file whose header names another segment
     than its name counts under its header's number, behind all others; complete archived files come
@@ -104,16 +137,20 @@ def retained_suffix(segments: DataFrame) -> tuple[int, int, tuple | None]:
     return runs[0]["first_segno"], runs[0]["last_segno"], gap
 
 
-def find_anchor(checkpoints: DataFrame, target_ts, retained_lsn: int | None = None) -> dict:
-    """The newest checkpoint at or before the target; replay starts at its redo position."""
+def find_anchor(checkpoints: DataFrame, target_ts, retained_lsn: int | None = None, gap: tuple | None = None) -> dict:
+    """The newest checkpoint at or before the target; replay starts at its redo position. ``gap`` is
+    what is missing before the retained suffix (see ``retained_suffix``): where it cuts the log, that
+    is the reason told when no checkpoint will do."""
     at = F.col("checkpoint_ts") <= F.lit(target_ts)
     row = checkpoints.agg(
         F.max(F.when(at, F.struct("checkpoint_ts", "redo_lsn", "checkpoint_lsn"))).alias("best"), F.min("checkpoint_ts").alias("earliest"),
     ).first()
-    if row["earliest"] is None:
-        raise HistoryError("log not complete: no checkpoint in the retained log")
     if row["best"] is None:
-        raise HistoryError("log not complete: the target predates the earliest checkpoint")
+        if gap is not None:
+            raise HistoryError(f"log not complete: the target predates the retained suffix (segments {gap[0]} to {gap[1]} are missing)")
+        if row["earliest"] is None:
+            raise HistoryError("log not complete: no checkpoint in the retained log")
+        raise HistoryError(f"log not complete: the target predates the earliest checkpoint ({row['earliest']})")
     if retained_lsn is not None and row["best"]["redo_lsn"] < retained_lsn:
         raise HistoryError("log not complete: the target predates the retained suffix")
     return row["best"].asDict()

@@ -77,7 +77,14 @@ def test_progress_states(spark):
     now = dt.datetime(2024, 2, 1)
     row = progress(segments, built, state={"published_at": now - dt.timedelta(seconds=20), "builds": 10, "elapsed": 5, "oldest": 2, "newest": 6}, hint={"observed_at": now, "span_fallback": 0, "metadata_fallback": 2}, now=now).first()
     assert (row["completed_segments"], row["missing_segments"], row["progress_pct"], row["daemon_state_stale"], row["last_query_summary_ready"]) == (2, 3, 40.0, True, True)
-    assert row["first_gap_from_newest_segno"] == 5 and row["first_gap_from_oldest_segno"] == 4
+    # the published oldest segment, 2, is not visible: it is the gap, and nothing is covered from there
+    assert row["first_gap_from_newest_segno"] == 5 and row["first_gap_from_oldest_segno"] == 2
+    assert (row["first_gap_from_newest_ts"], row["near_contiguous_through_ts"]) == (dt.datetime(2024, 1, 6), dt.datetime(2024, 1, 6))
+    assert row["first_gap_from_oldest_ts"] is None and row["far_contiguous_until_ts"] is None
+    seen = progress(segments, built, now=now).first()
+    assert (seen["first_gap_from_oldest_segno"], seen["first_gap_from_oldest_ts"], seen["far_contiguous_until_ts"]) == (4, dt.datetime(2024, 1, 4), dt.datetime(2024, 1, 4))
+    none = progress(segments.where("false"), built.where("false"), bounds=(4, 9)).first()
+    assert (none["first_gap_from_newest_segno"], none["first_gap_from_oldest_segno"], none["missing_segments"], none["progress_pct"]) == (9, 4, 6, 0.0)
     assert row["estimated_completion_at"] == now + dt.timedelta(seconds=1.5)
     empty = progress(segments.where("false"), built).first()
     assert empty["progress_pct"] == 100.0 and len(empty) == 24
