@@ -33,10 +33,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
-#: A null is nothing between commas, an empty text two quotes, and a quote in a text is doubled.
 #: An empty text is told from a null by a mark while it is read.
 _EMPTY = "\u0001empty\u0001"
-CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""', "lineSep": "\n"}
+#: A null is nothing between commas, an empty text two quotes, and a quote in a text is doubled.
+CSV = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""', "lineSep": "\n", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
