@@ -15,6 +15,7 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,6 +273,9 @@ class Segmenter:
         self.chunks, self.ids, self.used = _Numbers(), np.zeros(0, np.uint32), 0
         self.sizes, self.starts, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.score, self.second = np.zeros(0), np.zeros(0)
+        #: Chunks by number, and the model's own ids of them, one behind the other, with their ends.
+        self.names: list[str] = []
+        self.own, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _forget(self) -> None:
         n = len(self.chunks)
@@ -279,8 +283,9 @@ class Segmenter:
         keep = np.flatnonzero(hits > 1)
         if len(keep) > REMEMBERED // 2:
             keep = np.sort(np.argsort(-hits, kind="stable")[: REMEMBERED // 2])
-        names = list(self.chunks)
-        self.chunks = _Numbers(names[k] for k in keep.tolist())
+        self.own, self.ends = self._own(keep), np.concatenate([[0], np.cumsum(np.diff(self.ends)[keep])])
+        self.names = [self.names[k] for k in keep.tolist()]
+        self.chunks = _Numbers(self.names)
         self.ids = self._ids(keep)
         self.used = len(self.ids)
         self.sizes, self.score, self.second = self.sizes[keep], self.score[keep], self.second[keep]
@@ -344,8 +349,22 @@ class Segmenter:
         ends = np.cumsum(sizes, dtype=np.int64)
         return self.ids[np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
+    def _own(self, numbers: np.ndarray) -> np.ndarray:
+        """The model's own ids of chunks, one behind the other."""
+        sizes = self.ends[numbers + 1] - self.ends[numbers]
+        after = np.cumsum(sizes)
+        return self.own[np.repeat(self.ends[numbers] - (after - sizes), sizes) + np.arange(int(after[-1]) if len(after) else 0)]
+
     def _learn(self, new: list[str], was: int) -> None:
-        """The best segmentations of the chunks numbered from ``was`` on."""
+        """The model's encoding and the best segmentations of the chunks numbered from ``was`` on. Merges,
+        like paths, never cross from one chunk to the next; the library puts a blank before each."""
+        self.names += new
+        found = self.vocabulary.library.encode([x[1:].replace(BLANK, " ") for x in new], num_threads=1)
+        blank = self.vocabulary.number.get(BLANK)  # a chunk that is a blank alone has no text to give to the library
+        alone = [blank] if blank is not None else [self.vocabulary.byte[b] for b in BLANK.encode()]
+        found = [alone if x == BLANK else ids for x, ids in zip(new, found, strict=True)]
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        self.own = np.concatenate([self.own, np.fromiter(chain.from_iterable(found), np.uint32)])
         for a in range(0, len(new), TOGETHER):
             names = new[a : a + TOGETHER]
             n, at = len(names), was + a
@@ -378,19 +397,40 @@ class Segmenter:
     def segment_many(self, texts: list[str]):
         """For each text (score, ids of the best segmentation, the n best as (score, changes)); a
         change is (place in the best ids, ids it takes the place of, new ids)."""
+        for own in self._cut_many(texts):
+            yield self._ways(own) if len(own) else (0.0, np.empty(0, np.uint32), [(0.0, [])])
+
+    def _cut_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's chunks; those not known yet are worked out. Chunks of texts with no
+        two blanks side by side are told apart in Arrow, many texts at once."""
         if len(self.chunks) > REMEMBERED:
             self._forget()
-        cuts = [self.cut(t) for t in texts]
-        was = len(self.chunks)
-        numbers = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
+        was, number = len(self.chunks), self.chunks.__getitem__
+        easy = [k for k, t in enumerate(texts) if t and "  " not in t and t[0] != " " and BLANK not in t]
+        out: list = [None] * len(texts)
+        if easy:
+            lists = pc.split_pattern(pa.array([texts[k] for k in easy], pa.string()), " ")
+            coded = lists.values.dictionary_encode()
+            names = coded.dictionary.to_numpy(zero_copy_only=False)
+            numbers = np.fromiter((number(BLANK + x) for x in names), np.int64, len(names))[coded.indices.to_numpy()]
+            ends = lists.offsets.to_numpy()
+            for k, a, b in zip(easy, ends.tolist(), ends[1:].tolist()):
+                out[k] = numbers[a:b]
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                cut = self.cut(t)
+                out[k] = np.fromiter(map(number, cut), np.int64, len(cut))
         if len(self.chunks) > was:
             self._learn(self.chunks.last(len(self.chunks) - was), was)
-        at = 0
-        for cut in cuts:
-            own, at = numbers[at : at + len(cut)], at + len(cut)
-            yield self._ways(cut, own) if cut else (0.0, np.empty(0, np.uint32), [(0.0, [])])
+        return out
+
+    def work(self, texts: list[str], ways: bool = True):
+        """For each text its chunks' numbers taken once: (the model's own ids, what ``segment_many`` gives or None)."""
+        for own in self._cut_many(texts):
+            found = None if not ways else self._ways(own) if len(own) else (0.0, np.empty(0, np.uint32), [(0.0, [])])
+            yield self._own(own), found
 
-    def _ways(self, cut: list[str], numbers: np.ndarray):
+    def _ways(self, numbers: np.ndarray):
         self.hits[numbers] += 1  # once a text
         score, second, sizes = float(self.score[numbers].sum()), self.second[numbers], self.sizes[numbers]
         few = min(self.n - 1, len(second))
@@ -403,14 +443,14 @@ class Segmenter:
             some = np.empty(0, np.int64)
         some = some[np.isfinite(second[some])]
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
-        ways, out = [self.search(cut[k]) for k in some], []
+        ways, out = [self.search(self.names[numbers[k]]) for k in some], []
         for loss, changes in merged(ways, self.n):
             out.append((score - loss, [(int(starts[some[p]]), int(sizes[some[p]]), list(ways[p][r][1])) for p, r in changes]))
         return score, self._ids(numbers), out
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The model's own encoding of each whole text, by the library: merges for a BPE model."""
-        return [np.array(x, np.uint32) for x in self.vocabulary.library.encode(texts)]
+        return [ids for ids, _ in self.work(texts, False)]
 
     def decode(self, ids) -> str:
         """The text of ids: blanks for their sign, the blank in front taken off, bytes joined."""
@@ -447,12 +487,14 @@ def _segment(batches, text_at: int, path: str, n: int, add: tuple):
         "ids_crc32": lambda ids, best, ways: zlib.crc32(ids.astype("<u4").tobytes()),
         "decoded": lambda ids, best, ways: own.decode(ids.tolist()),
     }
+    searched = bool({"best_ids", "n_best", "scores"} & set(add))
     for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            texts = [t or "" for t in batch.column(text_at).slice(a, 512).to_pylist()]
-            for b, c in batches_of(texts, 1 << 20):
+        for a in range(0, batch.num_rows, 1024):
+            texts = [t or "" for t in batch.column(text_at).slice(a, 1024).to_pylist()]
+            for b, c in batches_of(texts, 1 << 21):
                 out: dict[str, list] = {x: [] for x in add}
-                for ids, (_, best, ways) in zip(own.encode_many(texts[b:c]), own.segment_many(texts[b:c]), strict=True):
+                for ids, found in own.work(texts[b:c], searched):
+                    _, best, ways = found or (0.0, None, None)
                     for x in add:
                         out[x].append(make[x](ids, best, ways))
                 part = batch.slice(a + b, c - b)

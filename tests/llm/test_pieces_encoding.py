@@ -23,3 +23,18 @@ def test_ids_are_the_models_own_encoding(spark, tmp_path):
     assert own[0]["n_pieces"] == 4
     out = pieces.segment(spark.read.parquet(f"{tmp_path}/documents.parquet"), MODEL).where("doc_id = 0").first()
     assert out["ids"] == lib.encode(texts[0]) and out["best_ids"] != out["ids"]
+
+
+def test_encoding_by_chunks_equals_the_library(monkeypatch):
+    """Runs of blanks, the blank's own sign, control strings, bytes, and chunks forgotten between batches."""
+    import random
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 400)
+    rng = random.Random(12)
+    letters = list("abcdetho  ,.\n\t1é中ßİ́ \xa0") + [pieces.BLANK, "   ", "</s>", "<0x0A>", "the ", " of", "[INST]", "\U0001f600", "\0"]
+    own = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 2)
+    for _ in range(12):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", " ", "  ", " a", "a "]
+        want = own.vocabulary.library.encode(texts)
+        assert [x.tolist() for x in own.encode_many(texts)] == want
+        assert [x.tolist() for x, _ in own.work(texts)] == want
