@@ -36,15 +36,26 @@ def folded(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def blanks(width: int) -> np.uint64:
+    """The n-gram of blanks alone."""
+    return np.uint64(int.from_bytes(b" " * width, "big") | width << 56)
+
+
 def grams(raw: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of ``width`` bytes within each text, as integers that also hold the width, and
-    how many each text has. Texts lie one after the other in ``raw`` with a blank before each and one at the end."""
+    how many each text has. Texts lie one after the other in ``raw`` with a blank before each and one at the end.
+    Where one would reach into the next text there is one of blanks alone, which is no evidence."""
     if len(raw) < width:
         return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
     value = np.zeros(len(raw) - width + 1, np.uint64)
     for k in range(width):
         value = (value << np.uint64(8)) | raw[k : len(raw) - width + 1 + k]
-    return value | np.uint64(width << 56), np.diff(np.append(starts, len(value)).clip(max=len(value)))
+    value |= np.uint64(width << 56)
+    ends = np.append(starts[1:], len(raw) - 1)
+    for k in range(1, width - 1):
+        over = ends - k
+        value[over[(over >= 0) & (over < len(value))]] = blanks(width)
+    return value, np.diff(np.append(starts, len(value)).clip(max=len(value)))
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +77,8 @@ def _counts(batches):
                 raw, starts = joined(own[k : k + 512])
                 raw = folded(raw)
                 for width in WIDTHS:
-                    value, n = np.unique(grams(raw, starts, width)[0], return_counts=True)
+                    value = grams(raw, starts, width)[0]
+                    value, n = np.unique(value[value != blanks(width)], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
@@ -104,7 +116,7 @@ class Model:
             value, n = grams(raw, starts, width)
             if not len(value):
                 continue
-            blank = np.concatenate([[0], np.cumsum(value == np.uint64(int.from_bytes(b" " * width, "big") | width << 56))])
+            blank = np.concatenate([[0], np.cumsum(value == blanks(width))])
             found, ends = self.languages(value), np.concatenate([[0], np.cumsum(n)])
             found[np.diff(blank).astype(bool)] = 0
             n = n - (blank[ends[1:]] - blank[ends[:-1]])
