@@ -84,7 +84,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     lose all their lines but for those in the document with the smallest id. Other lines stay, in
     their order.
 
-    Lines travel as 128-bit hashes, once a document. The count of documents a key is combined on the
+    Lines are hashed once, to 128 bits, and written; they travel as hashes, once a document. The count of documents a key is combined on the
     map side (for two documents the smallest and the largest id tell), so a line that a third of the
     documents hold arrives as a row a task. Verdicts on lines of very many documents,
     of which there are few whatever the input, are broadcast to the lines; the others are joined. What a document has to drop
@@ -97,7 +97,7 @@ def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     whatever their names, stay."""
     names = [c for c in df.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = docs.mapInArrow(lambda it: _hashes(it, least), "has int, id long, h1 long, h2 long")
+    lines = written(docs.mapInArrow(lambda it: _hashes(it, least), "has int, id long, h1 long, h2 long"), "lines")
     place = F.struct("has", "id")
     if documents == 2:
         held = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last")
