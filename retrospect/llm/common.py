@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: The white space of the contracts: blank, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch, at most, where a table is written in between.
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,7 +77,12 @@ def written(df: DataFrame, what: str = "cut", instead: DataFrame | None = None)
     written table that nothing needs any more once ``df`` is there: its files are deleted."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_BATCH)
+    try:  # whole texts go through Arrow: what is under way at a time should be small
+        spark.conf.set(ARROW_BATCH, str(min(ARROW_ROWS, int(rows))) if int(rows) > 0 else str(ARROW_ROWS))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BATCH, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     if instead is not None:

@@ -173,7 +173,7 @@ def _judge(batches, text_at: int, model):
         texts = batch.column(text_at).to_pylist()
         start = size = 0
         for k in range(len(texts) + 1):
-            if k == len(texts) or (size and size + len(texts[k] or "") > 1 << 20):
+            if k == len(texts) or (size and size + len(texts[k] or "") > 1 << 18):
                 langs, scores, shares = model.value.judge([t or "" for t in texts[start:k]])
                 part = batch.slice(start, k - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], [*part.schema.names, "lang_pred", "score", "evidence"])

@@ -23,7 +23,7 @@ def _pieces(batches, text_at: int, path: str, mode: str, end: int, capacity: int
     enc = encoder(path, mode)
     for batch in (x.slice(k, 2048) for x in batches for k in range(0, x.num_rows, 2048)):
         texts = [t or "" for t in batch.column(text_at).to_pylist()]
-        for a, b in batches_of(texts, 1 << 21):
+        for a, b in batches_of(texts, 1 << 20):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, own in enumerate(enc.encode_many(texts[a:b])):
                 own = np.append(own, np.uint32(end)).astype("<u4")
