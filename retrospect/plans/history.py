@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DELETES, INSERTS, UPDATES, HistoryError, RelationInfo, check_relation, preflight, settings
-from ..operators.apply import apply_bag, apply_keyed
+from ..operators.apply import apply_bag, apply_bag_many, apply_keyed, apply_keyed_many
 from ..operators.summary import prune_segments
 from ..operators.unsafe import refuse_unsafe, unsafe_facts
 from ..operators.visibility import reverse_ops, row_changes, with_outcomes
@@ -153,9 +153,12 @@ def history(
 
 def history_many(current: DataFrame, op_log: DataFrame, marks: dict, *, xact_log: DataFrame | None = None, keys: list[str] | tuple | None = None, now_ts=None) -> DataFrame:
     """The table at several targets at once, with a column label in front: ``marks`` maps labels to
-    targets. Each change goes to the marks before it, each current row to all of them; the log is
-    read once for all."""
+    targets. Each change goes to the marks before it; a current row meets the changes once and goes to
+    the marks for which none touched it. The log is read once for all. A table with a column label of its
+    own, and no marks at all, are refused."""
     spark = current.sparkSession
+    if not marks or "label" in current.columns:
+        raise HistoryError("no targets" if not marks else "the table has a column label, which the result needs for its own")
     times = {k: _moment(v, spark) for k, v in marks.items()}
     now = _moment(now_ts, spark) if now_ts is not None else spark.range(1).select(F.current_timestamp()).first()[0]
     if any(t > now for t in times.values()):
@@ -165,10 +168,9 @@ def history_many(current: DataFrame, op_log: DataFrame, marks: dict, *, xact_log
     array = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(t).cast(kind).alias("ts")) for k, t in times.items()])
     later = changes.withColumn("__mark", F.explode(F.filter(array, lambda m: m["ts"] < F.col("commit_ts"))))
     reverse = _reverse_with_label(later)
-    labelled = current.withColumn("label", F.explode(F.array(*[F.lit(k) for k in times]))).select("label", *current.columns)
     if keys:
-        return apply_keyed(labelled, reverse, list(keys), by=("label",))
-    return apply_bag(labelled, reverse, by=("label",))
+        return apply_keyed_many(current, reverse, list(keys), list(times))
+    return apply_bag_many(current, reverse, list(times))
 
 
 def _reverse_with_label(changes: DataFrame) -> DataFrame:

@@ -285,10 +285,6 @@ def chunks(spark, d):
     return whole.select("value_id", F.octet_length("value").cast("long").alias("bytes"), F.md5("value").alias("digest"))
 
 
-_FILES = "SELECT *, CASE WHEN segno < 20 THEN 1 ELSE 2 END AS timeline, CASE WHEN segno % 50 = 11 THEN segno + 1000 ELSE segno END AS hdr FROM (SELECT o_orderkey AS o, CAST(floor(o_orderkey / 2) AS BIGINT) AS segno FROM orders WHERE o_orderkey < 400) WHERE segno % 37 <> 5 AND NOT (segno % 4 = 0 AND o % 2 = 1) AND segno <> 199"
-_CHOSEN = f"SELECT hdr AS segno, timeline, 'f' || arg_min(o, CASE WHEN o % 2 = 0 THEN 0 ELSE 1 END) AS name FROM ({_FILES}) WHERE timeline = 2 GROUP BY hdr, timeline"
-
-
 @query("anchor", "SELECT o_orderkey AS checkpoint_lsn, o_orderkey * 10 AS redo_lsn FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey <= 5050 ORDER BY o_orderkey DESC LIMIT 1")
 def anchor(spark, d):
     marks = X.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("checkpoint_lsn"), (F.col("o_orderkey") * 10).alias("redo_lsn"), F.expr(f"{X.EPOCH} + make_dt_interval(0, 0, CAST(o_orderkey AS INT), 0)").alias("checkpoint_ts"))

@@ -238,3 +238,33 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "k bigint, v string")
     assert apply_keyed(empty, spark.createDataFrame([], f"reverse_op string, commit_lsn bigint, lsn bigint, old_row {ROW}, new_row {ROW}"), ["k"]).collect() == []
     assert apply_bag(empty, spark.createDataFrame([], f"reverse_op string, commit_lsn bigint, lsn bigint, old_row {ROW}, new_row {ROW}")).collect() == []
+
+
+def test_targets_that_cannot_be_told(spark):
+    current, ops, xacts = spark.createDataFrame([], "label string, v int"), spark.createDataFrame([], "kind string, lsn long, xid long"), None
+    with pytest.raises(HistoryError, match="column label"):
+        history_many(current, ops, {"a": NOW}, xact_log=xacts, now_ts=NOW)
+    with pytest.raises(HistoryError, match="no targets"):
+        history_many(current.drop("label"), ops, {}, xact_log=xacts, now_ts=NOW)
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_several_targets_read_the_table_once_to_deal_it_out(spark, keyed):
+    row = "struct<k:int,v:int>"
+    current = spark.createDataFrame([(1, 10), (2, 20), (None, 30), (4, 41)] + ([] if keyed else [(2, 20)]), "k int, v int")
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    ops = spark.createDataFrame(
+        [("heap_update", 5, 5, (4, 40), (4, 41), "committed", at(5), 5), ("heap_insert", 7, 7, None, (None, 30), "committed", at(7), 7), ("heap_delete", 8, 8, (9, 90), None, "committed", at(8), 8)],
+        f"kind string, lsn long, xid long, old_row {row}, new_row {row}, outcome string, commit_ts timestamp, commit_lsn long",
+    )
+    out = history_many(current, ops, {"old": at(1), "mid": at(6), "new": at(9)}, keys=["k"] if keyed else None, now_ts=at(30))
+    same = [(1, 10), (2, 20)] + ([] if keyed else [(2, 20)])
+    want = [("old", *r) for r in [*same, (4, 40), (9, 90)]] + [("mid", *r) for r in [*same, (4, 41), (9, 90)]] + [("new", *r) for r in [*same, (None, 30), (4, 41)]]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+    twice = current.unionByName(current)
+    if keyed:
+        with pytest.raises(Exception, match="duplicate current row"):
+            history_many(twice, ops, {"old": at(1), "new": at(9)}, keys=["k"], now_ts=at(30)).collect()
+    else:
+        with pytest.raises(Exception, match="consumed fewer"):
+            history_many(current.where("v <> 41"), ops, {"old": at(1)}, now_ts=at(30)).collect()
