@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 TARGET = "2024-01-04 11:20:00"  # epoch and 5000 minutes
-NOW = "9000-01-01 00:00:00"  # after every commit: minutes from the epoch are ints, which end in 6107
+NOW = "+294000-01-01 00:00:00"  # after every commit but those of Spark's last years, which end in 294247
 
 #: What tells an orders row. Some rows bear made-up numbers, which are numbers of other orders too in a table
 #: of over a million: ``part`` is 0 of an order under its own number, 1 of one under the number that it had
@@ -33,6 +33,11 @@ FROM (SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 7 AS INT) AS c FROM {or
 """
 
 
+def at_minute(minute: str):
+    """The time so many minutes after the epoch, be their number an int or a long; raises where timestamps end."""
+    return F.expr(f"timestampadd(MINUTE, {minute}, {EPOCH})")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,7 +78,7 @@ def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lsn = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
     return rows.select(
         F.lit("lineitem").alias("rel"), F.when(F.col("c") == 0, "heap_insert").when(F.col("c") == 1, "heap_update").otherwise("heap_delete").alias("kind"), lsn.alias("lsn"), lsn.alias("xid"), F.lit("committed").alias("outcome"),
-        F.expr(f"{EPOCH} + make_dt_interval(0, 0, CAST(l_orderkey AS INT), 0)").alias("commit_ts"), lsn.alias("commit_lsn"),
+        at_minute("l_orderkey").alias("commit_ts"), lsn.alias("commit_lsn"),
         F.when(F.col("c") == 1, row(qty + 1)).when(F.col("c") == 2, row(qty)).alias("old_row"), F.when(F.col("c") < 2, row(qty)).alias("new_row"),
     )
 

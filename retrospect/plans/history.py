@@ -49,6 +49,15 @@ def _moment(value, spark) -> dt.datetime:
     return value
 
 
+def _now(value, spark) -> tuple[dt.datetime, Column]:
+    """Now, to compare targets with and to compare commits with. It may lie past the years that Python's
+    datetimes hold (Spark's reach 294247), and is their last moment to targets then."""
+    if isinstance(value, str) and spark.range(1).select(F.lit(value).cast("timestamp") >= F.lit("9999-12-31").cast("timestamp")).first()[0]:
+        return dt.datetime.max, F.lit(value).cast("timestamp")
+    value = _moment(value, spark) if value is not None else spark.range(1).select(F.current_timestamp()).first()[0]
+    return value, F.lit(value)
+
+
 def _condition(key_filter):
     return key_filter if isinstance(key_filter, Column) else F.expr(key_filter)
 
@@ -111,8 +120,8 @@ def history(
     progress, snapshot = Progress(own["show_progress"]), snapshot or own["target_snapshot"]
     progress.stage(1)
     target = _moment(target_ts, spark)
-    now = _moment(now_ts, spark) if now_ts is not None else spark.range(1).select(F.current_timestamp()).first()[0]
-    if target > now:
+    latest, now = _now(now_ts, spark)
+    if target > latest:
         raise HistoryError("target timestamp is in the future")
     if created_ts is not None and _moment(created_ts, spark) > target:
         raise HistoryError("the table was made after the target")
@@ -160,8 +169,8 @@ def history_many(current: DataFrame, op_log: DataFrame, marks: dict, *, xact_log
     if not marks or "label" in current.columns:
         raise HistoryError("no targets" if not marks else "the table has a column label, which the result needs for its own")
     times = {k: _moment(v, spark) for k, v in marks.items()}
-    now = _moment(now_ts, spark) if now_ts is not None else spark.range(1).select(F.current_timestamp()).first()[0]
-    if any(t > now for t in times.values()):
+    latest, now = _now(now_ts, spark)
+    if any(t > latest for t in times.values()):
         raise HistoryError("target timestamp is in the future")
     changes = with_outcomes(row_changes(op_log), xact_log, min(times.values()), now).where("undo")
     kind = changes.schema["commit_ts"].dataType
