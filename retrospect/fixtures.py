@@ -56,7 +56,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lsn = (F.col("minute") * 10 + 1).cast("long")
     return rows.select(
         F.lit("orders").alias("rel"), "kind", lsn.alias("lsn"), (lsn * 100 + F.col("class")).alias("xid"), F.when(F.col("class") == 5, "aborted").otherwise("committed").alias("outcome"),
-        F.expr(f"{EPOCH} + make_dt_interval(0, 0, CAST(minute AS INT), 0)").alias("commit_ts"), lsn.alias("commit_lsn"), row("old_k", "old_price", made.when(F.col("class") == 4, 1).otherwise(0)).alias("old_row"), row("new_k", "new_price", made.otherwise(0)).alias("new_row"),
+        at_minute("minute").alias("commit_ts"), lsn.alias("commit_lsn"), row("old_k", "old_price", made.when(F.col("class") == 4, 1).otherwise(0)).alias("old_row"), row("new_k", "new_price", made.otherwise(0)).alias("new_row"),
     )
 
 
