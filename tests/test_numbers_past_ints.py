@@ -30,7 +30,7 @@ def shifted(tmp_path_factory):
     return str(path), duck
 
 
-NAMES = "bag_rows count_star".split()
+NAMES = "bag_rows count_star full_output".split()
 
 
 #: Those that gave SQL's rows all the same where the cast wrapped around.
