@@ -30,7 +30,7 @@ def shifted(tmp_path_factory):
     return str(path), duck
 
 
-NAMES = "bag_rows count_star full_output join_customers join_full key_topn keyed_history keyed_history_xacts join_semi_anti multi_target".split()
+NAMES = "bag_rows count_star full_output join_customers join_full key_topn keyed_history keyed_history_xacts join_semi_anti multi_target log_reader".split()
 
 
 #: Those that gave SQL's rows all the same where the cast wrapped around.
