@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 TARGET = "2024-01-04 11:20:00"  # epoch and 5000 minutes
-NOW = "+294000-01-01 00:00:00"  # after every commit but those of Spark's last years, which end in 294247
+NOW = "+294000-01-01 00:00:00"  # after every commit
+#: The last minute a commit has, in the year 292926: Spark's times end in 294247, and later changes commit then.
+#: Which of a row's changes came first is told by their lsn, which goes on.
+LAST_MINUTE = 153 * 10**9
 
 #: What tells an orders row. Some rows bear made-up numbers, which are numbers of other orders too in a table
 #: of over a million: ``part`` is 0 of an order under its own number, 1 of one under the number that it had
@@ -34,8 +37,8 @@ FROM (SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 7 AS INT) AS c FROM {or
 
 
 def at_minute(minute: str):
-    """The time so many minutes after the epoch, be their number an int or a long; raises where timestamps end."""
-    return F.expr(f"timestampadd(MINUTE, {minute}, {EPOCH})")
+    """The time so many minutes after the epoch, be their number an int or a long; LAST_MINUTE's from there on."""
+    return F.expr(f"timestampadd(MINUTE, IF({minute} > {LAST_MINUTE}, {LAST_MINUTE}, {minute}), {EPOCH})")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
