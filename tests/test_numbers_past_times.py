@@ -31,7 +31,7 @@ def shifted(tmp_path_factory, request):
     return str(path), duck
 
 
-NAMES = "bag_rows full_output join_customers join_full join_semi_anti key_topn keyed_history keyed_history_xacts log_reader".split()
+NAMES = "bag_rows full_output join_customers join_full join_semi_anti key_topn keyed_history keyed_history_xacts log_reader multi_target".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
